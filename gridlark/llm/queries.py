@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pii, quality, secrets, simhash
+from . import exact_dedup, mixing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -20,6 +20,41 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
+    return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+#: The plan of the mix restated: targets by water-filling, then every document's words before it in md5 order.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
+             row_number() OVER (ORDER BY source NULLS LAST) AS idx FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, idx) AS k FROM w),
+l AS (SELECT a.source, a.source_size, a.cap, a.weight, a.k,
+             (SELECT sum(source_size) FROM k) - coalesce((SELECT sum(b.cap) FROM k b WHERE b.k < a.k), 0) AS remaining,
+             (SELECT sum(b.weight) FROM k b WHERE b.k >= a.k) AS parts FROM k a),
+f AS (SELECT k, remaining, parts FROM l
+      WHERE k = (SELECT min(k) FROM l WHERE CAST(cap AS DOUBLE) / weight > CAST(remaining AS DOUBLE) / parts)),
+t AS (SELECT l.source, l.source_size,
+             CASE WHEN f.k IS NULL OR l.k < f.k THEN CAST(l.cap AS DOUBLE)
+                  ELSE CAST(l.weight * f.remaining AS DOUBLE) / f.parts END AS target
+      FROM l LEFT JOIN f ON true),
+g AS (SELECT *, CAST(round(target) AS BIGINT) AS goal FROM t),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN least(goal // source_size, 3) ELSE 0 END AS passes FROM g),
+o AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.goal - p.passes * p.source_size AS rest,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM o
+"""
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -40,5 +75,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op6_secrets, op7_simhash, op8_exact_dedup)}
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op4_mixing, op6_secrets, op7_simhash, op8_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL}
