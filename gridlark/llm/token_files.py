@@ -16,9 +16,12 @@ document (uint32), symbols per document (uint32), left and right of each rule
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -34,9 +37,10 @@ from .common import written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+_END = struct.pack("<I", END_ID)
 #: Ids per shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_USES = 6, 2048, 24
+ROUNDS, RULES_PER_ROUND, LEAST_USES = 4, 4096, 24
 #: Words whose ids are remembered per process; at this number the memory starts anew.
 CACHED_WORDS = 400_000
 
@@ -58,23 +62,57 @@ def tokenizer(path: str | None = None):
     return found
 
 
-class Encoder:
-    """Encodes whole texts word by word: the vocabulary's pre-tokenizer drops white space, so no token spans two words."""
+#: Steps of the vocabulary's file for which plain words may go straight to its merges (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Latin letters that normalise to their lower case only, then signs without the apostrophe.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class Words(dict):
+    """Ids, as bytes, of the words met so far; a new word is encoded when it is asked for.
+
+    Letters and the signs that end a word are different pieces for the pre-tokenizer and are remembered apart. Plain
+    words go straight to the vocabulary's merges, all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str | None = None) -> None:
-        self.path, self.known = path, {}
+        super().__init__()
+        self.tokenizer, self.pieces = tokenizer(path), {}
+        self.merges = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())
+        split = steps["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") if steps["pre_tokenizer"]["type"] == "Sequence" else None
+        self.direct = steps["normalizer"] == _NORMALIZER and split == _SPLIT
+
+    def piece(self, s: str) -> bytes:
+        chars = s if s.isascii() else "".join([_BYTE_CHARS[b] for b in s.encode()])
+        found = self.pieces[s] = array("I", [t.id for t in self.merges.tokenize(chars)]).tobytes()
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        s = word.decode()
+        m = _PLAIN.fullmatch(s) if self.direct else None
+        if m:
+            letters, signs = m.groups()
+            letters = letters.lower()
+            found = self.pieces.get(letters) or self.piece(letters)
+            if signs:
+                found += self.pieces.get(signs) or self.piece(signs)
+        else:
+            found = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list(set(chain.from_iterable(words)) - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(set(chain.from_iterable(words)))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            encoded = tokenizer(self.path).encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, e.ids) for w, e in zip(some, encoded, strict=True))
-        known = self.known
-        return [np.fromiter(chain(chain.from_iterable([known[w] for w in ws]), (END_ID,)), np.uint32) for ws in words]
+        """Ids of whole texts. No token spans two words, as the pre-tokenizer drops white space."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+            self.pieces.clear()
+        ids = self.__getitem__
+        return [np.frombuffer(b"".join(map(ids, (t or "").encode("utf-8", "replace").split())) + _END, "<u4") for t in texts]
 
 
 # -- grammar -----------------------------------------------------------------------------------
@@ -208,7 +246,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = Words(vocabulary), TaskContext.get().partitionId()
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         size = shard = 0
