@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, pii, quality, secrets, simhash, token_files
+from . import decontamination, exact_dedup, lm_scoring, mixing, pii, quality, secrets, simhash, token_files
 from .common import table
 
 
@@ -96,11 +96,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_shards(table(spark, sf_dir, "documents")))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op4_mixing, op5_decontamination, op6_secrets, op7_simhash, op8_exact_dedup, op9_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op4_mixing, op5_decontamination, op6_secrets, op7_simhash, op8_exact_dedup, op9_token_files, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_exact_dedup": OP8_SQL}
