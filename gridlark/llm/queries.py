@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, lm_scoring, mixing, pii, quality, secrets, simhash, token_files
+from . import decontamination, exact_dedup, licenses, lm_scoring, mixing, pii, quality, secrets, simhash, token_files
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    confirmed = F.filter("findings", lambda f: f["confirmed"])
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda f: f["family"]))), ",")
+    best = F.coalesce(F.array_max(F.transform(confirmed, lambda f: f["probability"])), F.lit(0.0))
+    return found.select("doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_found"), F.size(confirmed).cast("long").alias("n_confirmed"), families.alias("families"), best.alias("best_probability"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mix(table(spark, sf_dir, "documents"))
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["words"])
@@ -106,5 +114,5 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op4_mixing, op5_decontamination, op6_secrets, op7_simhash, op8_exact_dedup, op9_token_files, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_quality, op3_licenses, op4_mixing, op5_decontamination, op6_secrets, op7_simhash, op8_exact_dedup, op9_token_files, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_exact_dedup": OP8_SQL}
