@@ -142,7 +142,8 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), shards: int = SHARDS, docs
 
 def first_words(text: Column, n: Column) -> Column:
     """The beginning of a text up to the end of its n-th word, n at least 1."""
-    return F.when(n >= words(text), text).otherwise(F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+"), F.lit(SPACED_WORD), F.lit("+){"), n.cast("string"), F.lit("}")), 0))
+    spaced = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{SPACED_WORD}"), F.lit(0))
+    return F.when(n >= words(text), text).otherwise(F.array_join(F.slice(spaced, F.lit(1), n.cast("int")), ""))
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
