@@ -42,7 +42,7 @@ _END = struct.pack("<I", END_ID)
 SHARD_IDS = 1 << 20
 ROUNDS, RULES_PER_ROUND, LEAST_USES = 4, 4096, 24
 #: Words whose ids are remembered per process; at this number the memory starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 
 MAGIC = b"RPR1"
 SHARD_SCHEMA = "part int, shard int, docs long, ids long, payload binary"
@@ -115,6 +115,12 @@ class Words(dict):
         return [np.frombuffer(b"".join(map(ids, (t or "").encode("utf-8", "replace").split())) + _END, "<u4") for t in texts]
 
 
+@cache
+def words(path: str | None = None) -> Words:
+    """The words of this process, which its later tasks go on using."""
+    return Words(path)
+
+
 # -- grammar -----------------------------------------------------------------------------------
 
 
@@ -246,7 +252,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Words(vocabulary), TaskContext.get().partitionId()
+        encoder, part = words(vocabulary), TaskContext.get().partitionId()
         ids: list[int | None] = []
         held: list[np.ndarray] = []
         size = shard = 0
