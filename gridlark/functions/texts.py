@@ -56,15 +56,15 @@ def preview(c: Column) -> Column:
 
 def regex_or_none(pattern: str, ignore_case: bool = True) -> str | None:
     """The pattern with its flags if the engine's regular expressions accept it, else None."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
     from pyspark.sql import SparkSession
 
     flagged = ("(?iu)" if ignore_case else "") + pattern
     try:
         SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(flagged)
-    except Exception as e:  # noqa: BLE001  py4j wraps the parser's complaint
-        if "PatternSyntaxException" in str(e):
-            return None
-        raise
+    except (IllegalArgumentException, Py4JJavaError):  # the parser's complaint, wrapped or not
+        return None
     return flagged
 
 

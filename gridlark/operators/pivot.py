@@ -71,7 +71,8 @@ def pivot(df: DataFrame, rows: list[Key], columns: list[Key], measures: list[Mea
     keyed = _keyed(df, rows, columns, measures, list(filters))
     names, r, c = [k.name for k in [*rows, *columns]], [k.name for k in rows], [k.name for k in columns]
     if not totals:
-        return keyed.groupBy(*names).agg(*_aggregates(measures)).orderBy(*names)
+        found = keyed.groupBy(*names).agg(*_aggregates(measures))
+        return found.orderBy(*names) if names else found
     sets = list(dict.fromkeys([tuple(names), tuple(r), tuple(c), ()]))
     grouped = keyed.groupingSets([[F.col(n) for n in s] for s in sets], *[F.col(n) for n in names]).agg(F.grouping_id().alias("_id"), *_aggregates(measures))
     bit = {n: 1 << (len(names) - 1 - i) for i, n in enumerate(names)}
