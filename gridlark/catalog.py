@@ -114,10 +114,11 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _date_histogram(period: str, label: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(view(spark, sf_dir, "orders").date_histogram("o_orderdate", period, "o_totalprice"), 1)
+        found = view(spark, sf_dir, "orders").date_histogram("o_orderdate", period, "o_totalprice")
+        return found.select("label", "n", F.round("sum", 2).alias("sum"), F.round("avg", 7).alias("avg"))
 
     run.__name__ = f"date_hist_{period}"
-    register(f"SELECT strftime(o_orderdate, '{label}') AS label, count(*) AS n, round(sum(o_totalprice), 1) AS sum, round(sum(o_totalprice) / count(*), 1) AS avg FROM orders GROUP BY 1")(run)
+    register(f"SELECT strftime(o_orderdate, '{label}') AS label, count(*) AS n, round(sum(o_totalprice), 2) AS sum, round(sum(o_totalprice) / count(*), 7) AS avg FROM orders GROUP BY 1")(run)
 
 
 for _period, _label in (("day", "%Y-%m-%d"), ("week", "%G-W%V"), ("month", "%Y-%m"), ("year", "%Y")):
