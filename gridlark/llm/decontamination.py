@@ -131,4 +131,4 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
     Where rows of different text share an id, all of them go if one is contaminated.
     """
     bad = decontaminate(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")

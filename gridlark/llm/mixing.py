@@ -152,12 +152,15 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     A row that is cut has the beginning of its text and the n_chars of that, if there is such a column.
     """
     columns = docs.columns
-    carried = docs.withColumns({f"_c_{c}": F.col(c) for c in columns})
-    rows = mix(carried, tuple(f"_c_{c}" for c in columns), shards, seed=seed)
-    rows = rows.withColumn("_draw", F.explode("draws"))
+    place = {c: f"_c_{i}" for i, c in enumerate(columns)}
+    carried = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(x) for c, x in place.items()])
+    rows = mix(carried, tuple(place.values()), shards, seed=seed).withColumn("_draw", F.explode("draws"))
     cut = F.col("_draw.words") < F.col("size")
-    text = F.when(cut, first_words(F.col("_c_text"), F.col("_draw.words"))).otherwise(F.col("_c_text"))
-    rows = rows.withColumn("_cut_text", text)
-    rows = rows.repartitionByRange(F.col("_draw.shard"), _hash(F.lit(seed), F.lit("row"), F.col("doc_id"), F.col("_draw.pass"))).sortWithinPartitions(F.col("_draw.shard"), _hash(F.lit(seed), F.lit("row"), F.col("doc_id"), F.col("_draw.pass")))
-    value = {"text": F.col("_cut_text"), "n_chars": F.when(cut, F.char_length("_cut_text").cast("long")).otherwise(F.col("_c_n_chars")) if "n_chars" in columns else None}
-    return rows.select(*[(value[c] if c in value else F.col(f"_c_{c}")).alias(c) for c in columns])
+    text = F.col(place["text"])
+    rows = rows.withColumn("_cut", F.when(cut, first_words(text, F.col("_draw.words"))).otherwise(text))
+    order = F.col("_draw.shard"), _hash(F.lit(seed), F.lit("row"), F.col("doc_id"), F.col("_draw.pass"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    value = {c: F.col(x) for c, x in place.items()} | {"text": F.col("_cut")}
+    if "n_chars" in place:
+        value["n_chars"] = F.when(cut, F.char_length("_cut").cast("long")).otherwise(F.col(place["n_chars"]))
+    return rows.select(*[value[c].alias(c) for c in columns])

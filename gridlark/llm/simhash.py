@@ -119,4 +119,4 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     Rows that repeat such an id stay with it; rows with a null id stay only where no row with an id is near.
     """
     stays = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
