@@ -158,11 +158,11 @@ def _constant(value: object, kind: str) -> Column:
 def _grams(paragraph: Column) -> Column:
     w = F.regexp_extract_all(paragraph, F.lit(WORD), F.lit(0))
 
+    def runs(words: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - k + 1)), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+
     def of(words: Column) -> Column:
-        runs = [words]
-        for k in range(2, GRAMS + 1):
-            runs.append(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - k + 1)), lambda i, k=k: F.array_join(F.slice(words, i, F.lit(k)), " ")))
-        return F.array_distinct(F.concat(*runs))
+        return F.array_distinct(F.concat(words, *[runs(words, k) for k in range(2, GRAMS + 1)]))
 
     return F.transform(F.array(w), of)[0]
 
