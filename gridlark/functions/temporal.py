@@ -74,7 +74,7 @@ def seconds_of_day(c: Column, kind: T.DataType | None = None) -> Column:
 def label(at: Column, period: str) -> Column:
     """yyyy-MM-dd, ISO yyyy-Www, yyyy-MM or yyyy."""
     if period == "week":
-        return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), at).cast("int"), F.weekofyear(at))
+        return F.when(at.isNotNull(), F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), at).cast("int"), F.weekofyear(at)))
     return F.date_format(at, {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[period])
 
 

@@ -78,9 +78,8 @@ def pivot(df: DataFrame, rows: list[Key], columns: list[Key], measures: list[Mea
     bit = {n: 1 << (len(names) - 1 - i) for i, n in enumerate(names)}
     gone = {s: sum(bit[n] for n in names if n not in s) for s in sets}
     level = F.when(F.col("_id") == gone[tuple(names)], "cell")
-    if tuple(r) in gone:
+    if r and c:
         level = level.when(F.col("_id") == gone[tuple(r)], "row")
-    if tuple(c) in gone:
         level = level.when(F.col("_id") == gone[tuple(c)], "column")
     return grouped.select(level.otherwise("grand").alias("level"), *names, *[m.name for m in measures]).orderBy("level", *names)
 
