@@ -146,8 +146,8 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> Grammar:
         free = ~(ends[:-1] | ends[1:])
         keys = np.where(free, seq[:-1] * following + seq[1:], -1)
         # a hash of the pairs finds the few that can be frequent; only these are counted exactly
-        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
-        often = (np.bincount(slot, minlength=1 << 22) >= LEAST_USES)[slot] & free
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        often = (np.bincount(slot, minlength=1 << 20) >= LEAST_USES)[slot] & free
         pairs, uses = np.unique(keys[often], return_counts=True)
         best = np.argsort(-uses, kind="stable")[:RULES_PER_ROUND]
         best = best[uses[best] >= LEAST_USES]
