@@ -1,0 +1,87 @@
+"""The pipeline on a small corpus, stage by stage, and without the subpackage."""
+
+from __future__ import annotations
+
+import random
+import subprocess
+import sys
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from gridlark.llm import mixing, token_files
+from tests.llm.conftest import SCHEMA, prose
+from tests.llm.test_duplicates import plain_components
+
+REPO = Path(__file__).parents[2]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    rng, d = random.Random(11), tmp_path_factory.mktemp("corpus")
+    passage = prose(rng, 30)
+    rows, labels = [], []
+    for i in range(260):
+        good = i % 4 != 0
+        t = prose(rng, rng.randint(20, 120))
+        rows.append((i, t if good else rng.choice([t.upper() + "!!", "$$ ".join(t.split()), " | ".join(t.split())]), "en", f"s{i % 3}", len(t)))
+        if i % 3:
+            labels.append((i, int(good), 0))
+    copies = [(1000 + i, rows[1][1], "en", "s1", 1) for i in range(40)]
+    leaks = [(2000 + i, f"{prose(rng, 20)} {' '.join(passage.split()[i : i + 12])} {prose(rng, 20)}", "en", "s2", 1) for i in range(8)]
+    odd = [(3000, None, None, None, None), (None, prose(rng, 50), "en", None, 3), (3001, "", "en", "s0", 0)]
+    spark.createDataFrame(rows + copies + leaks + odd, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, "not to be found")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d), rows, copies, leaks
+
+
+def test_stages(spark, corpus):
+    d, rows, copies, leaks = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    assert len(stages) == 5 and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+
+    good = stages[0](spark, docs, d)
+    assert good.columns == docs.columns
+    kept = {r.doc_id for r in good.collect()}
+    assert {i for i, *_ in rows if i % 4} <= kept and not {i for i, *_ in rows if i % 4 == 0} & kept
+
+    single = stages[1](spark, good, d)
+    assert single.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in single.collect()]
+    everything = plain_components([(r.doc_id, r.text) for r in good.collect()])
+    assert sorted((i for i, _ in left if i is not None)) == sorted(i for i, _, c in everything if i is not None and i == c)
+    assert not {i for i, *_ in copies} & {i for i, _ in left}
+
+    clean = stages[2](spark, single, d)
+    assert clean.columns == docs.columns
+    assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((i for i, _ in left if i not in {x for x, *_ in leaks}), key=repr)
+
+    mixed = stages[3](spark, clean, d)
+    assert mixed.columns == docs.columns
+    goal = {r.source: r.target for r in mixing.targets(clean.select("source", mixing.words(clean["text"]).alias("size"))).collect()}
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - t) <= 1 for s, t in goal.items())
+
+    out = stages[4](spark, mixed, d)
+    ids = lambda t: token_files.tokenizer().encode(t, add_special_tokens=False).ids + [1]
+    expected = Counter((r.doc_id, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x in ((r, ids(r.text)) for r in mixed.collect()))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out.collect()) == expected
+
+
+def test_run_is_the_stages(spark, corpus):
+    d = corpus[0]
+    a, b = (sorted(map(tuple, corpus_pipeline.run(spark, d).collect()), key=repr) for _ in range(2))
+    assert a == b and a
+
+
+def test_the_rest_works_without_the_subpackage():
+    code = "import sys; sys.path[:0] = [%r]; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert 'pipeline' not in e.oracle_sql()" % str(REPO)
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
