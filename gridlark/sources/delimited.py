@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import detect
+from . import detect, index_cache
 
 RANGE_BYTES = 32 << 20
 _READ = 1 << 20
@@ -191,10 +191,11 @@ def _ranges(source: Delimited, range_bytes: int) -> list[tuple[int, int, int]]:
     return [(k, s, min(s + range_bytes, source.size)) for k, s in enumerate(range(source.skip, source.size, range_bytes))]
 
 
-def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header: bool = True, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, list[str]]:
+def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header: bool = True, range_bytes: int = RANGE_BYTES, cache: str | None = None) -> tuple[DataFrame, list[str]]:
     """``_row`` (1-based), c0 … cN as text and ``_extra`` (cells beyond the header), and the header's names.
 
-    The file must be readable under ``path`` by every executor. Cells that a row lacks are empty texts; an empty
+    The file must be readable under ``path`` by every executor. With a ``cache`` folder, the first job is left out
+    where an unchanged file has been read before. Cells that a row lacks are empty texts; an empty
     file has one column without a name and no rows.
     """
     source = inspect(path, encoding, delimiter)
@@ -215,14 +216,18 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
                 found = [scan(data, state, sep)[0] for state in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([[x.state for x in found]], pa.list_(pa.int32())), pa.array([[x.records for x in found]], pa.list_(pa.int64()))], names=["k", "states", "records"])
 
-    plan = spark.createDataFrame(ranges, "k int, s long, e long").repartition(len(ranges), "k")
-    # a handful of numbers for each range
-    outcomes = sorted(plan.mapInArrow(survey, "k int, states array<int>, records array<long>").collect())
+    outcomes = index_cache.load(cache, source.path, source.delimiter, range_bytes) if cache else None
+    if outcomes is None:
+        plan = spark.createDataFrame(ranges, "k int, s long, e long").repartition(len(ranges), "k")
+        # a handful of numbers for each range
+        outcomes = [(list(x.states), list(x.records)) for x in sorted(plan.mapInArrow(survey, "k int, states array<int>, records array<long>").collect())]
+        if cache:
+            index_cache.save(cache, source.path, source.delimiter, range_bytes, outcomes)
     state, row, begins = FIELD, 0, []
-    for (k, s, e), o in zip(ranges, outcomes, strict=True):
+    for (k, s, e), (states, ended) in zip(ranges, outcomes, strict=True):
         begins.append((k, s, e, state, row, k == 0))
-        row += o.records[state]
-        state = o.states[state]
+        row += ended[state]
+        state = states[state]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

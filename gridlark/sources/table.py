@@ -45,8 +45,12 @@ class Table:
         return {"columns": len(self.names), **self.source}
 
 
-def open_table(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, sheet: str | None = None, labels: bool = False) -> Table:
-    """Opens a file by its extension: workbook (a sheet, the first by default), SAS, SPSS, Parquet or delimited text."""
+def open_table(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, sheet: str | None = None, labels: bool = False, cache: str | None = None) -> Table:
+    """Opens a file by its extension: workbook (a sheet, the first by default), SAS, SPSS, Parquet or delimited text.
+
+    ``labels`` takes variable labels as names where the format has them; ``cache`` is a folder for what is known of
+    large text files.
+    """
     began = time.time()
     low = path.lower()
     if low.endswith((".xlsx", ".xlsm", ".xls")):
@@ -61,8 +65,9 @@ def open_table(spark: SparkSession, path: str, encoding: str | None = None, deli
         df = spark.read.parquet(path)
         return Table(df, df.columns, [df.columns[0]])
     found = delimited.inspect(path, encoding, delimiter)
-    df, names = delimited.read(spark, path, found.encoding, found.delimiter)
-    return Table(df, names, ["_row"], None, {"bytes": found.size, "encoding": found.encoding, "delimiter": found.delimiter, "seconds": time.time() - began})
+    df, names = delimited.read(spark, path, found.encoding, found.delimiter, cache=cache)
+    seconds = time.time() - began
+    return Table(df, names, ["_row"], None, {"bytes": found.size, "encoding": found.encoding, "delimiter": found.delimiter, "seconds": seconds, "gb_per_s": found.size / 1e9 / max(seconds, 1e-9)})
 
 
 def open_text(spark: SparkSession, text: str) -> Table:

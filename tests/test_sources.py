@@ -14,8 +14,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gridlark.operators.profile import Hint
+from gridlark.plans import jobs
 from gridlark.sinks import export
-from gridlark.sources import delimited, detect, workbook
+from gridlark.sources import delimited, detect, index_cache, workbook
 from gridlark.sources.table import Table, open_table, open_text
 from gridlark.streaming import live
 
@@ -112,6 +113,41 @@ def test_encodings_and_delimiters(spark, tmp_path):
     assert detect.is_utf8("é".encode()[:1]) and not detect.is_utf8("é".encode()[:1], cut=False) and not detect.is_utf8(b"\xc0\xaf") and not detect.is_utf8(b"\xed\xa0\x80") and detect.encoding([b"a", "é".encode()[1:]]) == ("utf-8", 0)
 
 
+def test_cached_index(spark, tmp_path, monkeypatch):
+    path, folder = tmp_path / "i.csv", str(tmp_path / "cache")
+    path.write_text("a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(50)))
+    read = lambda: sorted((r._row, r.c0, r.c1) for r in delimited.read(spark, str(path), range_bytes=64, cache=folder)[0].collect())
+    first = read()
+    assert len(first) == 50 and read() == first and index_cache.load(folder, str(path), ",", 64) is not None
+    path.write_text("a,b\n1,2\n")
+    assert read() == [(1, "1", "2")] and index_cache.clear(folder, str(path)) == 2 and index_cache.clear(folder) == 0
+    monkeypatch.setattr(index_cache, "MOST_RECORDS", 0)
+    assert read() == [(1, "1", "2")] and index_cache.load(folder, str(path), ",", 64) is None
+
+
+def test_cancelled_jobs(spark):
+    import threading
+    import time
+
+    outcome = []
+
+    def work():
+        with jobs.tagged(spark, "slow"):
+            try:
+                spark.range(0, 4, 1, 4).select(F.java_method(F.lit("java.lang.Thread"), F.lit("sleep"), F.lit(60_000).cast("long"))).collect()
+                outcome.append("done")
+            except Exception as e:  # noqa: BLE001
+                outcome.append(str(e))
+
+    t = threading.Thread(target=work)
+    t.start()
+    time.sleep(4)
+    jobs.progress(spark)
+    jobs.cancel(spark, "slow")
+    t.join(50)
+    assert outcome and outcome[0] != "done"
+
+
 def test_clipboard(spark, tmp_path):
     t = open_text(spark, "a\tb\n1\t2\n3")
     assert t.names == ["a", "b"] and [tuple(r) for r in t.df.collect()] == [(1, "1", "2", []), (2, "3", "", [])]
