@@ -189,12 +189,18 @@ _BARE = re.compile(
     re.I,
 )
 _BARE_WORD = re.compile(r"\s{1,3}(at|dot)\s{1,3}", re.I)
+_ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat);|%40|&(?:#0*46|#x0*2e|period);", re.I)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,2}@\s{0,2}|@\s{1,2})(?=[A-Za-z0-9-]+\.[A-Za-z])")
 _AT_OR_DOT = {"at": "@", "@": "@", "dot": ".", ".": "."}
 
 
 def at_dot(m: Mapped) -> None:
-    """[at], (dot), _at_ anywhere; plain words "at" and "dot" only together, as in "x at y dot z"."""
+    """Character references, spaces around @; [at], (dot), _at_ anywhere; plain words "at" and "dot" only together, as in "x at y dot z"."""
     low = m.text.lower()
+    if "&" in low or "%40" in low:
+        m.rewrite([(*x.span(), "@" if re.search("64|40|commat", x.group().lower()) else ".") for x in _ENTITY.finditer(m.text)])
+    if "@" in low:
+        m.rewrite([(*x.span(), "@") for x in _SPACED_AT.finditer(m.text)])
     if "at" not in low and "dot" not in low and "." not in low:
         return
     edits = [(*x.span(), _AT_OR_DOT[x[1].lower()]) for x in _BRACKETED.finditer(m.text)]
@@ -312,7 +318,9 @@ def _rewritable(text: str) -> bool:
     low = text.lower()
     if any(c in low for c in "[({<") and _BRACKETS.search(low):
         return True
-    if "_at_" in low or "-at-" in low or _has_word(low, "dot"):
+    if "_at_" in low or "-at-" in low or "%40" in low or " @" in low or "@ " in low or _has_word(low, "dot"):
+        return True
+    if "&" in low and _ENTITY.search(low):
         return True
     return any(_has_word(low, w) for w in _DIGIT_WORDS) or bool(_DIGIT.search(low)) and _LETTER_BY_DIGIT.search(low) is not None
 

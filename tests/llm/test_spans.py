@@ -51,6 +51,7 @@ DISGUISED = {
     "john [at] example [dot] com!": ("email", "john [at] example [dot] com"), "mail jane.doe at mail dot example dot org now": ("email", "jane.doe at mail dot example dot org"),
     "joһn@exаmple.com": ("email", "joһn@exаmple.com"), "x_at_example_dot_com": ("email", "x_at_example_dot_com"), "plus one four one five five five five zero one three four": ("phone", "plus one four one five five five five zero one three four"),
     "ip one nine two dot one six eight dot one dot five end": ("ip", "one nine two dot one six eight dot one dot five"), "４１１１ １１１１ １１１１ １１１１": ("card", "４１１１ １１１１ １１１１ １１１１"), "4lll 1111 1111 1111": ("card", "4lll 1111 1111 1111"),
+    "x&#64;y&#46;com": ("email", "x&#64;y&#46;com"), "jo%40ex.org": ("email", "jo%40ex.org"), "jane @ example.com": ("email", "jane @ example.com"), "tel +1 (zero one seven) five five five-7713": ("phone", "+1 (zero one seven) five five five-7713"),
     "four " + "one " * 15 + "end": ("card", "four" + " one" * 15), "a​b@exam​ple.com": ("email", "a​b@exam​ple.com"),
 }
 
