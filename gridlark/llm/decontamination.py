@@ -71,8 +71,7 @@ def phrase_matches(items: DataFrame, vocabulary: DataFrame, postings: DataFrame,
     A window is ``window`` consecutive words of an item, or a whole item that has fewer.
     """
     pairs, _ = written(rarest_pairs(items, vocabulary, postings, window), "pairs")
-    anchors = small(pairs.groupBy("a_tid").agg(F.collect_list(F.struct("it", "a", "b", "b_tid")).alias("uses")), 4096)
-    hits = postings.join(anchors, F.col("tid") == F.col("a_tid")).select("d", "h", "pos", F.inline("uses"))
+    hits = postings.join(small(pairs, 40), F.col("tid") == F.col("a_tid"))
     hits = hits.select("d", "h", "it", (F.col("pos") - F.col("a")).alias("diagonal"), (F.col("pos") - F.col("a") + F.col("b")).cast("int").alias("pos"), F.col("b_tid").alias("tid"))
     others = small(pairs.select(F.col("b_tid").alias("tid")).distinct(), 24)
     seconds = postings.join(others, "tid", "left_semi")
