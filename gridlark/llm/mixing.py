@@ -158,8 +158,12 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     cut = F.col("_draw.words") < F.col("size")
     text = F.col(place["text"])
     rows = rows.withColumn("_cut", F.when(cut, first_words(text, F.col("_draw.words"))).otherwise(text))
-    order = F.col("_draw.shard"), _hash(F.lit(seed), F.lit("row"), F.col("doc_id"), F.col("_draw.pass"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # shards have equal numbers of draws and the hash is even, so ranges of both need no sampling of the rows
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_order", _hash(F.lit(seed), F.lit("row"), F.col("doc_id"), F.col("_draw.pass")))
+    share = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / (1 << 32)
+    part = F.floor((F.col("_draw.shard") + share) * partitions / shards).cast("int")
+    rows = rows.repartitionById(partitions, part).sortWithinPartitions(F.col("_draw.shard"), F.col("_order"))
     value = {c: F.col(x) for c, x in place.items()} | {"text": F.col("_cut")}
     if "n_chars" in place:
         value["n_chars"] = F.when(cut, F.char_length("_cut").cast("long")).otherwise(F.col(place["n_chars"]))
