@@ -35,118 +35,80 @@ class Outcome(NamedTuple):
     records: int
 
 
-def scan(data: bytes, state: int, delimiter: bytes) -> tuple[Outcome, int]:
-    """Runs over bytes from a state: the outcome, and the place after the first record's end (-1: none ends)."""
-    stop = re.compile(b"[\r\n" + re.escape(delimiter) + b"]")
-    at, n, records, first = 0, len(data), 0, -1
+def scan(data: bytes, state: int, delimiter: bytes, opened: dict[int, int] | None = None, known: tuple[dict[int, int], Outcome] | None = None) -> tuple[Outcome, int]:
+    """Runs over bytes from a state: the outcome, and the place after the first record's end (-1: none ends).
+
+    It goes from quote to quote and only counts line ends between them. ``opened`` gets the places of quotes that
+    open a field, with the records ended before; from such a place on, a run from another state is ``known``.
+    """
+    n, at, records, first, openers = len(data), 0, 0, -1, b"\r\n" + delimiter
+    if n and state == RETURN:
+        at = first = int(data[0] == 10)
+        state = FIELD
+    elif n and state == QUOTE:
+        at, state = (1, QUOTED) if data[0] == 34 else (0, PLAIN)
     while at < n:
-        if state == RETURN:
-            at += data[at] == 10
-            if first < 0 and records == 0:
-                first = at
-            state = FIELD
-        elif state == FIELD and data[at] == 34:
-            at, state = at + 1, QUOTED
-        elif state in (FIELD, PLAIN):
-            m = stop.search(data, at)
-            if not m:
-                return Outcome(PLAIN, records), first
-            at = m.end()
-            if m.group() == delimiter:
-                state = FIELD
-                continue
-            records += 1
-            if m.group() == b"\r":
-                if at >= n:
-                    return Outcome(RETURN, records), at if first < 0 else first
-                at += data[at] == 10
-            first = at if first < 0 else first
-            state = FIELD
-        elif state == QUOTED:
-            at = data.find(34, at)
-            if at < 0:
+        if state == QUOTED:
+            at = data.find(b'"', at) + 1
+            if not at:
                 return Outcome(QUOTED, records), first
-            at, state = at + 1, QUOTE
-        else:
-            state = QUOTED if data[at] == 34 else PLAIN
-            at += data[at] == 34
+            if at == n:
+                return Outcome(QUOTE, records), first
+            if data[at] == 34:
+                at += 1
+            else:
+                state = PLAIN
+            continue
+        quote = data.find(b'"', at)
+        while quote >= 0 and not (data[quote - 1] in openers if quote > at else state == FIELD):
+            quote = data.find(b'"', quote + 1)
+        end = quote if quote >= 0 else n
+        ended = data.count(b"\n", at, end) + data.count(b"\r", at, end) - data.count(b"\r\n", at, end)
+        if ended and first < 0:
+            first = min(x for x in (data.find(b"\n", at, end), data.find(b"\r", at, end)) if x >= 0) + 1
+            first += data[first - 1] == 13 and data[first : first + 1] == b"\n"
+        records += ended
+        if quote < 0:
+            last = data[n - 1]
+            return Outcome(RETURN if last == 13 else FIELD if last in openers else PLAIN, records), first
+        if opened is not None:
+            opened[quote] = records
+        if known and quote in known[0]:
+            return Outcome(known[1].state, records + known[1].records - known[0][quote]), first
+        at, state = quote + 1, QUOTED
     return Outcome(state, records), first
 
 
-def fields(record: bytes, delimiter: bytes, encoding: str) -> list[str]:
-    """Cells of one record, without its line end."""
-    out, at, n = [], 0, len(record)
-    while True:
-        if at < n and record[at] == 34:
-            parts, at = [], at + 1
-            while True:
-                end = record.find(34, at)
-                if end < 0:
-                    parts.append(record[at:])
-                    at = n
-                    break
-                parts.append(record[at:end])
-                at = end + 1
-                if at < n and record[at] == 34:
-                    parts.append(b'"')
-                    at += 1
-                    continue
-                break
-            inside = b"".join(parts).replace(b"\r\n", b"\n").replace(b"\r", b"\n")
-            end = record.find(delimiter, at)
-            end = n if end < 0 else end
-            out.append((inside + record[at:end]).decode(encoding, "replace"))
-        else:
-            end = record.find(delimiter, at)
-            end = n if end < 0 else end
-            out.append(record[at:end].decode(encoding, "replace"))
-        if end >= n:
-            return out
-        at = end + 1
-
-
-def records(data: bytes, delimiter: bytes) -> Iterator[bytes]:
-    """Complete records of bytes that begin with one; the last may lack its line end."""
-    at = 0
-    while at < len(data):
-        chunk = data if at == 0 else data[at:] if len(data) - at < 4096 else data[at : at + 4096]
-        outcome, end = scan_first(chunk, delimiter)
-        while end < 0 and at + len(chunk) < len(data):
-            chunk = data[at : at + 4 * len(chunk)]
-            outcome, end = scan_first(chunk, delimiter)
-        if end < 0:
-            yield data[at:]
+def outcomes_of(data: bytes, delimiter: bytes) -> list[Outcome]:
+    """What comes of the bytes from each state."""
+    opened: dict[int, int] = {}
+    found, _ = scan(data, FIELD, delimiter, opened)
+    return [found, *[scan(data, s, delimiter, known=(opened, found))[0] for s in range(1, 5)]]
+
+
+def rows(text: str, delimiter: str) -> Iterator[list[str]]:
+    """Cells of the records of a text that begins with one; the last may lack its line end."""
+    d = re.escape(delimiter)
+    field = re.compile(rf'(?:"((?:[^"]++|"")*+)"?+([^{d}\r\n]*+)|([^{d}\r\n]*+))({d}|\r\n|\r|\n|\Z)')
+    row: list[str] = []
+    for m in field.finditer(text):
+        inside, rest, plain, end = m.groups()
+        if inside is not None:
+            if '"' in inside:
+                inside = inside.replace('""', '"')
+            if "\r" in inside:
+                inside = inside.replace("\r\n", "\n").replace("\r", "\n")
+            plain = inside + rest
+        if end == delimiter:
+            row.append(plain)
+            continue
+        if not end and not row and m.start() == m.end():
             return
-        if end == len(chunk) and chunk[-1] == 13 and at + end < len(data) and data[at + end] == 10:
-            end += 1
-        yield re.sub(rb"(\r\n|\r|\n)\Z", b"", data[at : at + end])
-        at += end
-
-
-def scan_first(data: bytes, delimiter: bytes) -> tuple[None, int]:
-    """The place after the first record's end, -1 if there is none."""
-    stop = re.compile(b"[\r\n" + re.escape(delimiter) + b"]")
-    at, n, begins = 0, len(data), True
-    while at < n:
-        if begins and data[at] == 34:
-            at += 1
-            while True:
-                at = data.find(34, at)
-                if at < 0:
-                    return None, -1
-                at += 1
-                if at < n and data[at] == 34:
-                    at += 1
-                    continue
-                break
-        m = stop.search(data, at)
-        if not m:
-            return None, -1
-        at = m.end()
-        begins = m.group() == delimiter
-        if not begins:
-            return None, at + (m.group() == b"\r" and at < n and data[at] == 10)
-    return None, -1
+        row.append(plain)
+        yield row
+        if not end:
+            return
+        row = []
 
 
 @dataclass(frozen=True)
@@ -181,10 +143,10 @@ def inspect(path: str, encoding: str | None = None, delimiter: str | None = None
         delimiter = delimiter or detect.delimiter(parts[0][skip:])
         f.seek(skip)
         head = f.read(detect.SAMPLE)
-        while scan_first(head, delimiter.encode())[1] < 0 and (more := f.read(detect.SAMPLE)):
+        while scan(head, FIELD, delimiter.encode())[1] < 0 and (more := f.read(detect.SAMPLE)):
             head += more
-    first = next(records(head, delimiter.encode()), b"")
-    return Delimited(path, encoding, skip, delimiter, fields(first, delimiter.encode(), encoding), size)
+    first = next(rows(head.decode(encoding, "replace"), delimiter), [""])
+    return Delimited(path, encoding, skip, delimiter, first, size)
 
 
 def _ranges(source: Delimited, range_bytes: int) -> list[tuple[int, int, int]]:
@@ -213,7 +175,7 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
                 with open(source.path, "rb") as f:
                     f.seek(s)
                     data = f.read(e - s)
-                found = [scan(data, state, sep)[0] for state in range(5)]
+                found = outcomes_of(data, sep)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([[x.state for x in found]], pa.list_(pa.int32())), pa.array([[x.records for x in found]], pa.list_(pa.int64()))], names=["k", "states", "records"])
 
     outcomes = index_cache.load(cache, source.path, source.delimiter, range_bytes) if cache else None
@@ -225,13 +187,13 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
             index_cache.save(cache, source.path, source.delimiter, range_bytes, outcomes)
     state, row, begins = FIELD, 0, []
     for (k, s, e), (states, ended) in zip(ranges, outcomes, strict=True):
-        begins.append((k, s, e, state, row, k == 0))
+        begins.append((k, s, e, state, row, k == 0, states[state]))
         row += ended[state]
         state = states[state]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, s, e, state, row, first_range in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for _, s, e, state, row, first_range, left in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 with open(source.path, "rb") as f:
                     f.seek(max(s - 1, 0))
                     before = f.read(1) if s > source.skip else b""
@@ -243,28 +205,25 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
                     if at < 0 or at >= len(data):
                         continue
                     body = data[at:]
-                    last = len(body)
-                    while scan(body, FIELD, sep)[0].state not in (FIELD, RETURN) or not body.endswith((b"\r", b"\n")):
+                    while left not in (FIELD, RETURN) or body[-1:] not in (b"\r", b"\n"):
                         more = f.read(_READ)
-                        if not more:
-                            break
-                        _, end = scan(more, scan(body, FIELD, sep)[0].state, sep)
+                        outcome, end = scan(more, left, sep)
                         body += more if end < 0 else more[:end]
-                        if end >= 0:
+                        if end >= 0 or not more:
                             break
+                        left = outcome.state
                 number = row if fresh else row + 1
-                rows, place = [], 0
-                for record in records(body, sep):
+                made = []
+                for cells in rows(body.decode(source.encoding, "replace"), source.delimiter):
                     if number > 0 or not header:
-                        rows.append((number if header else number + 1, fields(record, sep, source.encoding)))
+                        made.append((number if header else number + 1, cells))
                     number += 1
-                    place += 1
                 width = len(names)
-                for i in range(0, len(rows), 10_000):
-                    some = rows[i : i + 10_000]
+                for i in range(0, len(made), 10_000):
+                    some = made[i : i + 10_000]
                     columns = [pa.array([c[j] if j < len(c) else "" for _, c in some], pa.string()) for j in range(width)]
                     extra = pa.array([c[width:] for _, c in some], pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), *columns, extra], names=["_row", *[f"c{j}" for j in range(width)], "_extra"])
 
-    work = spark.createDataFrame(begins, "k int, s long, e long, state int, row long, first boolean").repartition(len(ranges), "k")
+    work = spark.createDataFrame(begins, "k int, s long, e long, state int, row long, first boolean, left int").repartition(len(ranges), "k")
     return work.mapInArrow(parse, schema), names

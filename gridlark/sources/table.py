@@ -81,10 +81,9 @@ def open_text(spark: SparkSession, text: str) -> Table:
     from . import detect
 
     raw = text.encode()
-    sep = detect.delimiter(raw).encode()
-    rows = [delimited.fields(r, sep, "utf-8") for r in delimited.records(raw, sep)]
-    df, names = workbook.frame(spark, rows or [[""]])
-    return Table(df, names, ["_row"], None, {"bytes": len(raw), "delimiter": sep.decode()})
+    sep = detect.delimiter(raw)
+    df, names = workbook.frame(spark, list(delimited.rows(text, sep)) or [[""]])
+    return Table(df, names, ["_row"], None, {"bytes": len(raw), "delimiter": sep})
 
 
 def temporary_csv(text: str) -> str:
