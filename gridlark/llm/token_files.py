@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import keep_memory, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -252,6 +252,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         encoder, part = words(vocabulary), TaskContext.get().partitionId()
         ids: list[int | None] = []
         held: list[np.ndarray] = []
