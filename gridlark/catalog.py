@@ -445,6 +445,12 @@ def percent_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_orderkey <= 500").select("l_orderkey", "l_linenumber", numbers.show_percent(F.round("l_discount", 2).cast("string"), True).alias("shown"))
 
 
+@register("SELECT p_partkey, '$' || regexp_replace(format('{:,.2f}', p_retailprice), '\\.?0+$', '') AS shown FROM part")
+def currency_display_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select("p_partkey", numbers.show_currency(F.col("p_retailprice").cast("string"), "$").alias("shown"))
+
+
 @register("SELECT page_id, CASE WHEN length(html) > 1000 THEN left(html, 1000) || ' …' ELSE html END AS shown FROM pages")
 def cell_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", texts.preview(F.col("html")).alias("shown"))
