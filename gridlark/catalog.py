@@ -451,6 +451,11 @@ def currency_display_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", numbers.show_currency(F.col("p_retailprice").cast("string"), "$").alias("shown"))
 
 
+@register("SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' AS shown FROM lineitem")
+def percent_display_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", numbers.show_percent(F.round("l_discount", 2).cast("string"), True).alias("shown"))
+
+
 @register("SELECT page_id, CASE WHEN length(html) > 1000 THEN left(html, 1000) || ' …' ELSE html END AS shown FROM pages")
 def cell_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", texts.preview(F.col("html")).alias("shown"))

@@ -7,7 +7,7 @@ import pytest
 from gridlark import catalog
 from tests.test_queries import DATA
 
-TABLES = {"currency_display_all": "part"}
+TABLES = {"currency_display_all": "part", "percent_display_all": "lineitem"}
 
 
 @pytest.mark.parametrize("name", TABLES)
