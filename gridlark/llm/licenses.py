@@ -1,6 +1,8 @@
 """Licence notices in documents: a trained paragraph classifier whose findings templates confirm.
 
-A paragraph is a line. Its features are the word n-grams it has of the model's
+A paragraph is a line; blocks of lines, with comment marks or none and ended by
+a blank line, are judged as a whole too, so that notices wrapped over lines are
+found. A paragraph's features are the word n-grams it has of the model's
 vocabulary; multinomial logistic regression over licence families and a class
 for everything else is fitted, with soft-thresholding to keep it sparse, on
 notices put together from templates and on sentences that aren't notices.
@@ -59,6 +61,8 @@ GRAMS, ROUNDS, RATE, SPARSE, HALF = 3, 90, 0.5, 2e-4, 0.5
 #: Share of a template's n-grams that a paragraph must have.
 CONFIRMED = 0.75
 WORD = "[a-z0-9]+(?:[.][0-9]+)*"
+#: Between blocks: lines of white space and comment marks only. Within a block WORD passes over such marks.
+BETWEEN_BLOCKS = "\\n(?:[ \\t\\r/*#;%!<>|-]*\\n)+"
 
 
 def words_of(text: str) -> list[str]:
@@ -191,9 +195,9 @@ def paragraph_finding(paragraph: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_paragraphs, findings per input row: findings lists paragraph number, family, probability, similarity, confirmed.
+    """doc_id, n_paragraphs, findings, wrapped per input row: findings lists paragraph number, family, probability, similarity, confirmed.
 
-    Only paragraphs of a known family are listed. Null and empty texts have no paragraphs, blank lines count as
+    wrapped has family, probability, similarity of the blocks of several lines that are confirmed as a whole. Only paragraphs of a known family are listed. Null and empty texts have no paragraphs, blank lines count as
     none; null ids are kept, repeated rows give repeated results, other columns are ignored.
     """
     anchor = "(?<![a-z0-9])(?:" + "|".join(re.escape(a) for a in model().anchors) + ")(?![a-z0-9])"
@@ -203,4 +207,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = F.transform(numbered, lambda x: F.transform(F.array(paragraph_finding(x["p"])), lambda f: F.struct(x["paragraph"].alias("paragraph"), f["family"].alias("family"), f["probability"].alias("probability"), f["similarity"].alias("similarity"), (f["similarity"] >= CONFIRMED).alias("confirmed")))[0])
     empty = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>")
     findings = F.when(F.col("text").rlike(anchor), F.filter(judged, lambda f: f["family"] != UNKNOWN)).otherwise(empty)
-    return rows.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"), findings.alias("findings"))
+    blocks = F.filter(F.split("text", BETWEEN_BLOCKS), lambda b: F.trim(b).contains("\n") & b.rlike(anchor))
+    whole = F.filter(F.transform(blocks, paragraph_finding), lambda f: (f["family"] != UNKNOWN) & (f["similarity"] >= CONFIRMED))
+    wrapped = F.when(F.col("text").rlike(anchor), whole).otherwise(F.array().cast("array<struct<family:string,probability:double,similarity:double>>"))
+    return rows.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"), findings.alias("findings"), wrapped.alias("wrapped"))

@@ -23,9 +23,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     confirmed = F.filter("findings", lambda f: f["confirmed"])
-    families = F.array_join(F.array_sort(F.array_distinct(F.transform(confirmed, lambda f: f["family"]))), ",")
-    best = F.coalesce(F.array_max(F.transform(confirmed, lambda f: f["probability"])), F.lit(0.0))
-    return found.select("doc_id", "n_paragraphs", F.size("findings").cast("long").alias("n_found"), F.size(confirmed).cast("long").alias("n_confirmed"), families.alias("families"), best.alias("best_probability"))
+    of = lambda fs, name: F.transform(fs, lambda f: f[name])
+    found = found.select("doc_id", "n_paragraphs", F.size("findings").alias("n"), confirmed.alias("confirmed"), "wrapped")
+    # a block counts for a family that no line of the document has by itself
+    found = found.withColumn("wrapped", F.filter("wrapped", lambda f: ~F.array_contains(of("confirmed", "family"), f["family"])))
+    families = F.array_join(F.array_sort(F.array_union(of("confirmed", "family"), of("wrapped", "family"))), ",")
+    best = F.coalesce(F.array_max(F.concat(of("confirmed", "probability"), of("wrapped", "probability"))), F.lit(0.0))
+    more = F.size("wrapped")
+    return found.select("doc_id", "n_paragraphs", (F.col("n") + more).cast("long").alias("n_found"), (F.size("confirmed") + more).cast("long").alias("n_confirmed"), families.alias("families"), best.alias("best_probability"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
