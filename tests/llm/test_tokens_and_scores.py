@@ -85,15 +85,139 @@ def test_few_head_words_give_the_same_base(odd, monkeypatch):
     assert rows_of(lm_scoring.score_documents(odd).select("doc_id", "n_known", F.round("base_score", 5))) == whole
 
 
+def learned(lines, bits):
+    code = lm_scoring.Code.of(lines)
+    tables = [lm_scoring.Table(b) for b in bits]
+    for some in lm_scoring.batches_of(iter(lines)):
+        d = lm_scoring.Decisions(some, code, stretches=False)
+        for table, context in zip(tables, d.contexts, strict=True):
+            table.learn(context, d)
+    return lm_scoring.Model(code, [lm_scoring.Odds.of(t) for t in tables])
+
+
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(1)
-    lines = [lm_scoring.line(lm_scoring.tokens(prose(rng, 120))) for _ in range(200)]
-    code = lm_scoring.Code(sum((np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in lines), np.zeros(256, int)))
-    counts = lm_scoring.Counts()
-    for some in lm_scoring.batches_of(iter(lines)):
-        counts.learn(some, code)
-    return lm_scoring.Model(code, [lm_scoring.log_odds(t) for t in counts.tables])
+    return learned([lm_scoring.line(lm_scoring.tokens(prose(rng, 120))) for _ in range(200)], [16, 18, 18, 18])
+
+
+def plain_contexts(x, at):
+    """The contexts of the byte at a place of a line, spelled out."""
+    before = b"\n" * 8 + x[:at]
+    pair = lm_scoring_tree(before)
+    beyond = [b for b in x[:at] if 0x80 <= b < 0xC0]
+    script = ("byte", beyond[-1]) if beyond else ("none", (at >= 7) + (at >= 63) + (at >= 511))
+    words = x[:at].split(b" ")
+    so_far, last = words[-1][-8:], words[-2][-8:] if len(words) > 1 else None
+    return pair, [(before[-3:], script, pair), (so_far, script, pair), (so_far, script, pair, last), before[-5:]]
+
+
+def lm_scoring_tree(before):
+    return before[-1], before[-2]
+
+
+def plain_scores(train, lines, code):
+    """The model bit by bit, with a dictionary for each context and no table."""
+    c = lm_scoring
+    counts = [{} for _ in range(4)]
+
+    def bits(x):
+        for at, byte in enumerate(x):
+            (one, two), contexts = plain_contexts(x, at)
+            path = int(code.tree_of[one << 8 | two]) * 256 + byte
+            steps = code.places[code.begin[path] : int(code.begin[path]) + int(code.length[path])].tolist()
+            tree = int(code.tree_of[one << 8 | two])
+            yield at, [(*k[:2], tree, *k[3:]) if isinstance(k, tuple) else k for k in contexts], steps
+
+    for x in train:
+        for _, contexts, steps in bits(x):
+            for table, k in zip(counts, contexts, strict=True):
+                slots = table.setdefault(k, {})
+                for s in steps:
+                    slots[s] = slots.get(s, 0) + 1
+
+    def odds(table, k, place):
+        slots = table.get(k, {})
+        n, m = slots.get(2 * place + 1, 0), slots.get(2 * place, 0)
+        return max(-127, min(127, round(math.log((n + c.PRIOR) / (m + c.PRIOR)) * c.STEPS))) / c.STEPS
+
+    out = []
+    for x in lines:
+        weights, shift, total = np.full((4, c.GATES), c.FIRST_WEIGHT), np.zeros(c.LEVELS), 0.0
+        held, last = [], int(c.stretch_of(np.array([len(x) - 1]))[0])
+        number = c.stretch_of(np.arange(len(x))).tolist()
+        for at, contexts, steps in bits(x):
+            met = [k in t for t, k in zip(counts, contexts, strict=True)]
+            rows = [[odds(t, k, s >> 1) for t, k in zip(counts, contexts, strict=True)] for s in steps]
+            gate = met[2] + 2 * met[1] + 4 * (abs(sum(rows[0])) > 4)
+            for row, s in zip(rows, steps, strict=True):
+                mixed = max(-c.LIMIT, min(c.LIMIT, float(weights[:, gate] @ row)))
+                level = int(max(-c.LEVELS // 2, min(c.LEVELS // 2 - 1, mixed))) + c.LEVELS // 2
+                mixed = max(-c.LIMIT, min(c.LIMIT, mixed + shift[level]))
+                sign = -1 if s & 1 else 1
+                total -= math.log1p(math.exp(sign * mixed))
+                wrong = 1 / (1 + math.exp(-sign * mixed))
+                held.append((gate, level, row, wrong * sign, wrong * (1 - wrong)))
+            if number[at] < last and number[at + 1] != number[at]:
+                for g in range(c.GATES):
+                    mine = [h for h in held if h[0] == g]
+                    curve = sum(h[4] * sum(v * v for v in h[2]) for h in mine) + c.CURB
+                    weights[:, g] -= [c.RATE * sum(h[3] * h[2][i] for h in mine) / curve for i in range(4)]
+                for v in range(c.LEVELS):
+                    mine = [h for h in held if h[1] == v]
+                    shift[v] -= sum(h[3] for h in mine) / (sum(h[4] for h in mine) + c.CURB)
+                held = []
+        out.append(total / math.log(10))
+    return out
+
+
+def test_scores_equal_a_plain_model():
+    rng = random.Random(7)
+    train = [lm_scoring.line(lm_scoring.tokens(t)) for t in [prose(rng, 15) for _ in range(4)] + ["été à la plage où naïve été", "x"]]
+    lines = [train[0], b"\n", lm_scoring.line(lm_scoring.tokens(prose(rng, 150) + " été où")), lm_scoring.line([b"new", b"words", b"\xc3\xa9t\xc3\xa9s"])]
+    # so many lines that hardly two contexts want the same
+    model = learned(train, [22, 22, 22, 22])
+    assert model.score(lines) == pytest.approx(plain_scores(train, lines, model.code), rel=2e-3)
+
+
+def test_parts_of_tables_add_up():
+    """Tables of some lines each, merged, give what one table of all lines does where no contexts compete."""
+    rng = random.Random(8)
+    lines = [lm_scoring.line(lm_scoring.tokens(prose(rng, 40))) for _ in range(20)]
+    code = lm_scoring.Code.of(lines)
+
+    def table(some):
+        t, d = lm_scoring.Table(20), lm_scoring.Decisions(some, code, stretches=False)
+        t.learn(d.contexts[1], d)
+        return dict(t.chunks())
+
+    whole, parts = table(lines), [table(lines[:9]), table(lines[9:])]
+    for k, part in whole.items():
+        found = [lm_scoring.Part.of(p[k].bytes()) for p in parts if k in p]
+        both = found[0].plus(found[1]) if len(found) == 2 else found[0]
+        same = both.owner == part.owner
+        assert same.mean() > 0.99 and (both.counts[same] == part.counts[same]).mean() > 0.999
+
+
+def test_frequent_contexts_keep_their_line():
+    """Two contexts of one line: the one met more often owns it, the other counts as unseen."""
+    often, seldom = b"the cat sat\n", b"q\n"
+    code = lm_scoring.Code.of([often, seldom])
+    t = lm_scoring.Table(5)
+    for x in [often] * 6 + [seldom] + [often] * 3:
+        d = lm_scoring.Decisions([x], code, stretches=False)
+        t.learn(np.full(len(x), 1 << 60 if x == often else 3 << 30, np.uint64), d)
+    line, check = lm_scoring.line_of(np.array([1 << 60, 3 << 30], np.uint64), t.lines)
+    assert line.tolist() == [1, 1] and t.owner[1] == check[0] != check[1]
+
+
+def test_long_texts_are_scored_in_pieces(model, monkeypatch):
+    rng = random.Random(9)
+    words = lm_scoring.tokens(prose(rng, 500))
+    whole = lm_scoring.line(words)
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 1000)
+    expected = sum(model.score([whole[i : i + 1000]])[0] for i in range(0, len(whole), 1000))
+    assert model.score_texts([[b"a"], words]) == pytest.approx([model.score([b"a\n"])[0], expected])
 
 
 def test_scores_are_probabilities(model):
