@@ -1,11 +1,13 @@
 """Token ids in binary shards, compressed by Re-Pair grammars with random access.
 
 Documents are range-partitioned and sorted by id, tokenized, and written as
-shards. In each shard the most frequent adjacent id pairs are replaced by
-nonterminals, round after round; a round replaces many pairs at once, an
-occurrence giving way to an overlapping one of a more frequent pair. No rule
-crosses a document's end, so that a document is a stretch of the compressed
-sequence; expansion lengths of the rules make any position addressable.
+shards. In each shard frequent adjacent id pairs are replaced by nonterminals,
+round after round, until no pair is left whose rule would pay: first within
+words, where each distinct word stands for all its occurrences, then across
+them. A round replaces many pairs at once, an occurrence giving way to an
+overlapping one of a more frequent pair. No rule crosses a document's end, so
+that a document is a stretch of the compressed sequence; expansion lengths of
+the rules make any position addressable.
 
 Shard layout, little-endian: magic "RPR1"; counts of documents, rules,
 sequence symbols and ids, and the first nonterminal (5 x uint32); then arrays:
@@ -24,7 +26,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,11 +38,15 @@ from .common import keep_memory, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-_END = struct.pack("<I", END_ID)
+#: Stands for the end of a text among its words; no word is white space.
+_END = b"\n"
 #: Ids per shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_USES = 4, 4096, 24
-#: Words whose ids are remembered per process; at this number the memory starts anew.
+#: A rule takes three numbers and saves one for each use, so that it pays from four uses on.
+LEAST_USES = 4
+#: Bits of the table that counts pairs by a hash; pairs that share a slot are told apart in a later round.
+PAIR_BITS, EXACT_PAIRS = 20, 1 << 16
+#: Words whose ids are remembered per process; at this number the memory starts anew with the next shard.
 CACHED_WORDS = 700_000
 
 MAGIC = b"RPR1"
@@ -57,9 +62,7 @@ def tokenizer(path: str | None = None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
 
 
 #: Steps of the vocabulary's file for which plain words may go straight to its merges (fixed values).
@@ -73,26 +76,43 @@ _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enu
 
 
 class Words(dict):
-    """Ids, as bytes, of the words met so far; a new word is encoded when it is asked for.
+    """Numbers of the words met so far, whose ids lie one after the other; a new word is encoded when it is asked for.
 
     Letters and the signs that end a word are different pieces for the pre-tokenizer and are remembered apart. Plain
-    words go straight to the vocabulary's merges, all others through the whole tokenizer.
+    words go straight to the vocabulary's merges, all others through the whole tokenizer. Number 0 is the end.
     """
 
     def __init__(self, path: str | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.pieces = tokenizer(path), {}
+        self.tokenizer = tokenizer(path)
         self.merges = self.tokenizer.model
         steps = json.loads(self.tokenizer.to_str())
         split = steps["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") if steps["pre_tokenizer"]["type"] == "Sequence" else None
         self.direct = steps["normalizer"] == _NORMALIZER and split == _SPLIT
-
-    def piece(self, s: str) -> bytes:
+        #: Strings that the tokenizer takes out of a text before anything else, white space around them or not.
+        self.special = [x["content"].lower() for x in steps["added_tokens"]]
+        firsts = {x[0] for x in self.special}
+        #: A sign that a text with any of them has.
+        self.sign = firsts.pop() if len(firsts) == 1 and not next(iter(firsts)).isalpha() else ""
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.clear()
+        self[_END] = 0
+        self.pieces: dict[str, list[int]] = {}
+        self.ids, self.begin = array("I", [END_ID]), array("q", [0, 1])
+
+    def piece(self, s: str) -> list[int]:
         chars = s if s.isascii() else "".join([_BYTE_CHARS[b] for b in s.encode()])
-        found = self.pieces[s] = array("I", [t.id for t in self.merges.tokenize(chars)]).tobytes()
+        found = self.pieces[s] = [t.id for t in self.merges.tokenize(chars)]
         return found
 
-    def __missing__(self, word: bytes) -> bytes:
+    def add(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.begin.append(len(self.ids))
+        return len(self.begin) - 2
+
+    def __missing__(self, word: bytes) -> int:
         s = word.decode()
         m = _PLAIN.fullmatch(s) if self.direct else None
         if m:
@@ -100,19 +120,44 @@ class Words(dict):
             letters = letters.lower()
             found = self.pieces.get(letters) or self.piece(letters)
             if signs:
-                found += self.pieces.get(signs) or self.piece(signs)
+                found = found + (self.pieces.get(signs) or self.piece(signs))
         else:
-            found = array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
-        self[word] = found
-        return found
+            found = self.tokenizer.encode(s, add_special_tokens=False).ids
+        self[word] = number = self.add(found)
+        return number
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts. No token spans two words, as the pre-tokenizer drops white space."""
-        if len(self) > CACHED_WORDS:
-            self.clear()
-            self.pieces.clear()
-        ids = self.__getitem__
-        return [np.frombuffer(b"".join(map(ids, (t or "").encode("utf-8", "replace").split())) + _END, "<u4") for t in texts]
+        """Numbers of the words of whole texts and the end. No token spans two words, as the pre-tokenizer drops white space.
+
+        A text with a special string is encoded as a whole and counts as one word.
+        """
+        out, number = [], self.__getitem__
+        for t in texts:
+            t = t or ""
+            if self.special and self.sign in t and any(x in t.lower() for x in self.special):
+                out.append(np.array([self.add(self.tokenizer.encode(t, add_special_tokens=False).ids), 0]))
+                continue
+            found = t.encode("utf-8", "replace").split()
+            found.append(_END)
+            out.append(np.fromiter(map(number, found), np.int64, len(found)))
+        return out
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.array(self.begin, np.int64))
+
+    def ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of words, one after the other."""
+        begin = np.array(self.begin, np.int64)
+        first, size = begin[numbers], begin[numbers + 1] - begin[numbers]
+        return np.array(self.ids, np.uint32)[_runs(first, size)]
+
+
+def _runs(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for lengths[0] numbers, then from first[1], and so on."""
+    upto = np.cumsum(lengths)
+    out = np.repeat(first - upto + lengths, lengths)
+    out += np.arange(len(out))
+    return out
 
 
 @cache
@@ -134,76 +179,174 @@ class Grammar(NamedTuple):
     symbols: np.ndarray
 
 
-def compress(ids: np.ndarray, counts: np.ndarray) -> Grammar:
-    """Re-Pair over the concatenated ids of documents with ``counts`` ids each (all positive)."""
-    base = int(ids.max()) + 1 if len(ids) else 0
-    seq, ends = ids.astype(np.int64), np.zeros(len(ids), bool)
-    ends[np.cumsum(counts) - 1] = True
-    left, right, lengths, following = [], [], np.ones(base, np.int64), base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        free = ~(ends[:-1] | ends[1:])
-        keys = np.where(free, seq[:-1] * following + seq[1:], -1)
-        # a hash of the pairs finds the few that can be frequent; only these are counted exactly
-        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        often = (np.bincount(slot, minlength=1 << 20) >= LEAST_USES)[slot] & free
-        pairs, uses = np.unique(keys[often], return_counts=True)
-        best = np.argsort(-uses, kind="stable")[:RULES_PER_ROUND]
-        best = best[uses[best] >= LEAST_USES]
-        if not len(best):
-            break
-        order = np.argsort(pairs[best])
-        chosen, rank_of = pairs[best][order], order
-        at = np.flatnonzero(often)
-        found = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(found, len(chosen) - 1)] == keys[at]
-        at, rank = at[hit], rank_of[found[hit]]
-        rank_at = np.full(len(seq) + 1, len(best), np.int64)
-        rank_at[at] = rank
-        before, after = rank_at[at - 1], rank_at[at + 1]
-        before[at == 0] = len(best)
-        # within a run of one pair, as in "a a a", every second occurrence; else the more frequent pair wins
-        run = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(rank) != 0)])
-        parity = (np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0
-        take = np.where(before == rank, parity, rank < before) & (rank <= after)
-        take[1:] &= ~((np.diff(at) == 1) & take[:-1])
-        at, rank = at[take], rank[take]
-        used, symbol = np.unique(rank, return_inverse=True)
-        rules = pairs[best][used]
-        left.append(rules // following)
-        right.append(rules % following)
-        lengths = np.concatenate([lengths, lengths[left[-1]] + lengths[right[-1]]])
-        seq[at] = following + symbol
-        following += len(used)
-        gone = np.ones(len(seq), bool)
-        gone[at + 1] = False
-        seq, ends = seq[gone], ends[gone]
-    last = np.flatnonzero(ends)
-    none = np.zeros(0, np.int64)
-    return Grammar(base, np.concatenate([none, *left]), np.concatenate([none, *right]), lengths[base:], seq, np.diff(last, prepend=-1))
-
-
-def expand(sequence: np.ndarray, base: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Ids of a stretch of the sequence."""
+class _Rules:
+    """Rules so far; symbols from ``base`` on are nonterminals."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.left, self.right = base, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.following = base
+
+    def add(self, pairs: np.ndarray) -> int:
+        first = self.following
+        self.left.append(pairs // first)
+        self.right.append(pairs % first)
+        self.following += len(pairs)
+        return first
+
+    def lengths(self) -> np.ndarray:
+        out, at = np.ones(self.following, np.int64), self.base
+        for left, right in zip(self.left, self.right, strict=True):
+            out[at : at + len(left)] = out[left] + out[right]
+            at += len(left)
+        return out[self.base :]
+
+
+def _classes(keys: np.ndarray, weight: np.ndarray | None, salt: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that occur often, their class, and per class the pair and its uses.
+
+    A hash of the pairs finds those that can be frequent. If these are few, or on demand, they are counted exactly;
+    otherwise of the pairs that share a slot of the hash one is counted and the others have to wait.
+    """
+    bits = max(10, min(PAIR_BITS, len(keys).bit_length()))
+    slot = ((keys.astype(np.uint64) * np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.intp)
+    can = np.flatnonzero((np.bincount(slot, weight, 1 << bits) >= LEAST_USES).take(slot))
+    slot, keys = slot.take(can), keys.take(can)
+    weight = None if weight is None else weight.take(can)
+    if exact or len(can) <= EXACT_PAIRS:
+        pairs, of = np.unique(keys, return_inverse=True)
+        uses = np.bincount(of, weight, len(pairs))
+    else:
+        pairs, of = np.zeros(1 << bits, np.int64), slot
+        pairs[slot] = keys
+        mine = pairs.take(slot) == keys
+        uses = np.bincount(slot, mine if weight is None else mine * weight, 1 << bits)
+        can, of = can[mine], of[mine]
+    often = (uses >= LEAST_USES).take(of)
+    return can[often], of[often], pairs, uses
+
+
+def _settled(at: np.ndarray, follow: np.ndarray, of: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ascending places are replaced, so that none overlap: of neighbours the more frequent one."""
+    weight = uses.take(of).astype(np.float64) * len(uses) + of
+    beside = follow[:-1] == at[1:]
+    before, after = np.full(len(at), -1.0), np.full(len(at), -1.0)
+    np.copyto(before[1:], weight[:-1], where=beside)
+    np.copyto(after[:-1], weight[1:], where=beside)
+    # within a run of one pair, as in "a a a", every second occurrence
+    index = np.arange(len(at))
+    even = (index - np.maximum.accumulate(np.where(before != weight, index, 0))) % 2 == 0
+    take = np.where(before == weight, even, weight > before) & (weight >= after)
+    take[1:] &= ~(beside & take[:-1])
+    return take
+
+
+_SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def _replace(seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rules: _Rules) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence and its ends after all rules that pay; symbols at ``ends`` are in no pair, ``weight`` is how often each place counts.
+
+    After the first round only pairs with a new symbol are looked at, as long as there are any; it ends when a look
+    at all pairs finds none.
+    """
+    n = len(seq)
+    ends = np.append(ends, True)
+    after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+    at, turn, exact = None, 0, False
+    while True:
+        whole = at is None
+        if whole:
+            at = np.flatnonzero(alive)
+        follow = after.take(at)
+        free = ~(ends.take(at) | ends.take(follow))
+        at, follow = at[free], follow[free]
+        keys = seq.take(at) * rules.following + seq.take(follow)
+        found, of, pairs, uses = _classes(keys, None if weight is None else weight.take(at), _SALTS[turn % 2], exact)
+        at, follow, turn = at.take(found), follow.take(found), turn + 1
+        taken = _settled(at, follow, of, uses)
+        at, follow, of = at[taken], follow[taken], of[taken]
+        # overlaps may leave a pair with too few uses
+        used = np.bincount(of, None if weight is None else weight.take(at), len(pairs))
+        made = np.flatnonzero(used >= LEAST_USES)
+        if not len(made):
+            if whole and (exact or len(found) <= EXACT_PAIRS):
+                return seq[alive], ends[:n][alive]
+            at, exact = None, whole
+            continue
+        number = np.full(len(pairs), -1)
+        number[made] = np.arange(len(made))
+        symbol = number.take(of)
+        pays = symbol >= 0
+        at, follow = at[pays], follow[pays]
+        seq[at] = symbol[pays] + rules.add(pairs[made])
+        alive[follow] = False
+        following = after.take(follow)
+        after[at], before[following] = following, at
+        fresh = np.empty(2 * len(at), np.int64)
+        fresh[::2], fresh[1::2] = np.maximum(before.take(at), 0), at
+        at, exact = fresh[np.diff(fresh, prepend=-1) > 0], False
+
+
+def compress(order: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Grammar:
+    """Re-Pair over documents of ``counts`` words each (all positive), given as numbers of words with ``sizes`` ids each."""
+    rules = _Rules(int(ids.max()) + 1 if len(ids) else 0)
+    # words, each followed by a sign that is in no pair
+    sign = np.cumsum(sizes + 1) - 1
+    seq, ends, weight = np.zeros(len(ids) + len(sizes), np.int64), np.zeros(len(ids) + len(sizes), bool), np.zeros(len(ids) + len(sizes))
+    ends[sign] = True
+    seq[~ends] = ids
+    weight[~ends] = np.repeat(np.bincount(order, minlength=len(sizes)), sizes)
+    seq, ends = _replace(seq, ends, weight, rules)
+    sizes = np.diff(np.flatnonzero(ends), prepend=-1) - 1
+    short, begin = seq[~ends], np.cumsum(sizes) - sizes
+    width = sizes[order]
+    seq = short[_runs(begin[order], width)]
+    ends = np.zeros(len(seq), bool)
+    ends[np.cumsum(width)[np.cumsum(counts) - 1] - 1] = True
+    seq, ends = _replace(seq, ends, None, rules)
+    return Grammar(rules.base, np.concatenate(rules.left), np.concatenate(rules.right), rules.lengths(), seq, np.diff(np.flatnonzero(ends), prepend=-1))
+
+
+def expand(sequence: np.ndarray, base: int, left: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids of a stretch of the sequence: every symbol is given its room at once, and halves move to their place level by level."""
     sequence = sequence.astype(np.int64)
-    while len(rules := np.flatnonzero(sequence >= base)):
-        which = sequence[rules] - base
-        sequence = np.repeat(sequence, np.where(sequence >= base, 2, 1))
-        at = rules + np.arange(len(rules))
-        sequence[at], sequence[at + 1] = left[which], right[which]
-    return sequence.astype(np.uint32)
+    rule = sequence >= base
+    room = np.ones(len(sequence), np.int64)
+    room[rule] = lengths[sequence[rule] - base]
+    start = np.cumsum(room) - room
+    out = np.zeros(int(room.sum()), np.uint32)
+    out[start[~rule]] = sequence[~rule]
+    at, which = start[rule], sequence[rule] - base
+    while len(at):
+        first, second = left[which].astype(np.int64), right[which].astype(np.int64)
+        one = first >= base
+        step = np.ones(len(at), np.int64)
+        step[one] = lengths[first[one] - base]
+        two, behind = second >= base, at + step
+        out[at[~one]], out[behind[~two]] = first[~one], second[~two]
+        at, which = np.concatenate([at[one], behind[two]]), np.concatenate([first[one], second[two]]) - base
+    return out
 
 
 # -- shards ------------------------------------------------------------------------------------
 
 
-def pack(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
-    counts = np.array([len(d) for d in docs], np.int64)
-    ids = np.concatenate(docs)
-    g = compress(ids, counts)
-    head = struct.pack("<4s5I", MAGIC, len(docs), len(g.left), len(g.sequence), len(ids), g.base)
-    arrays = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), counts.astype("<u4"), g.symbols.astype("<u4"), g.left.astype("<u4"), g.right.astype("<u4"), g.lengths.astype("<u4"), g.sequence.astype("<u4")]
+def pack(doc_ids: list[int | None], docs: list[np.ndarray], known: Words | None = None) -> bytes:
+    """A shard of documents: arrays of ids, or of the numbers of ``known`` words; each has an id at its end."""
+    order, counts = np.concatenate(docs).astype(np.int64), np.array([len(d) for d in docs], np.int64)
+    seen = np.zeros(int(order.max()) + 1, bool)
+    seen[order] = True
+    distinct = np.flatnonzero(seen)
+    number = np.cumsum(seen) - 1
+    if known is None:
+        ids, sizes = distinct, np.ones(len(distinct), np.int64)
+    else:
+        ids, sizes = known.ids_of(distinct).astype(np.int64), known.sizes()[distinct]
+    order = number[order]
+    g = compress(order, counts, ids, sizes)
+    lengths = np.add.reduceat(sizes[order], np.cumsum(counts) - counts)
+    head = struct.pack("<4s5I", MAGIC, len(docs), len(g.left), len(g.sequence), int(lengths.sum()), g.base)
+    arrays = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), lengths.astype("<u4"), g.symbols.astype("<u4"), g.left.astype("<u4"), g.right.astype("<u4"), g.lengths.astype("<u4"), g.sequence.astype("<u4")]
     return head + b"".join(a.tobytes() for a in arrays)
 
 
@@ -224,10 +367,10 @@ class Shard:
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, without expanding the others."""
-        return expand(self.sequence[self.ends[k] - self.symbols[k] : self.ends[k]], self.base, self.left, self.right)
+        return expand(self.sequence[self.ends[k] - self.symbols[k] : self.ends[k]], self.base, self.left, self.right, self.lengths)
 
     def all(self) -> np.ndarray:
-        return expand(self.sequence, self.base, self.left, self.right)
+        return expand(self.sequence, self.base, self.left, self.right, self.lengths)
 
     def id_at(self, position: int) -> int:
         """The id at a position of the shard: one symbol is found by expansion lengths and followed down its rules."""
@@ -248,7 +391,8 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
     """(part, shard, docs, ids, payload): the shards of all documents, in ascending order of id by part and shard.
 
     They are written in the shared folder and read from there. Null texts count as empty (the end id alone); null
-    ids come first; rows that repeat an id follow each other, in order of a hash of the text.
+    ids come first; rows that repeat an id follow each other, in order of a hash of the text. Only doc_id and text are
+    read, whatever other columns are called. An empty table gives no shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,19 +403,26 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
         size = shard = 0
 
         def full() -> pa.RecordBatch:
-            payload = pack(ids, held)
+            payload = pack(ids, held, encoder)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["part", "shard", "docs", "ids", "payload"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                for doc_id, tokens in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    if held and size + len(tokens) > shard_ids:
+                encoded = encoder.encode(some.column(1).to_pylist())
+                sizes = encoder.sizes()
+                for doc_id, numbers in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    n = int(sizes[numbers].sum())
+                    if held and size + n > shard_ids:
                         yield full()
                         ids, held, size, shard = [], [], 0, shard + 1
                     ids.append(doc_id)
-                    held.append(tokens)
-                    size += len(tokens)
+                    held.append(numbers)
+                    size += n
+                if len(encoder.begin) > CACHED_WORDS:
+                    yield full()
+                    ids, held, size, shard = [], [], 0, shard + 1
+                    encoder.start_anew()
         if held:
             yield full()
 

@@ -8,8 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gridlark.llm import licenses, lm_scoring, quality, token_files
 
@@ -18,15 +20,42 @@ from .conftest import odd_rows, prose, rows_of
 # -- op9 ---------------------------------------------------------------------------------------
 
 
+_LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+SPECIAL = ["<|endoftext|> hello", "a <|startoftext|> b", "x<|endoftext|>y", "<|EndOfText|> <| endoftext|>", "<|startoftext|><|endoftext|>"]
+
+
 def ids_of(text):
-    return token_files.tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
+    """What the library returns, by an object that nothing else touches."""
+    return _LIBRARY.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def test_words_encode_like_whole_texts():
     texts = ["Hello, World! it's I'll don't", "a\x1cb\x85c\xa0d é é ́x", "Straße ÀÉÎ façade. 東京 \U0001f600 12345 3.14!!", "<|endoftext|> <|startoftext|> x", "  \n\t ", "", None, "ΑΣ ΑΣΑ İI ǅ ﬁ ½", "x" * 5000, "a'b 'a'' ''s '"]
-    texts += [t for _, t, *_ in odd_rows()]
-    for t, ids in zip(texts, token_files.Words().encode(texts), strict=True):
-        assert ids.tolist() == ids_of(t), t
+    texts += [t for _, t, *_ in odd_rows()] + SPECIAL
+    known = token_files.Words()
+    for t, numbers in zip(texts, known.encode(texts), strict=True):
+        assert known.ids_of(numbers).tolist() == ids_of(t), t
+
+
+def test_shards_of_texts_with_special_strings(spark):
+    texts = SPECIAL + ["plain words", None, *SPECIAL]
+    found = token_files.read_documents(token_files.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in found] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in map(ids_of, texts)]
+
+
+def test_no_pair_is_left_that_pays():
+    rng = random.Random(3)
+    known = token_files.Words()
+    texts = [" ".join(rng.choice(["the cat", "sat on", "a mat", "unthinkableness", "x", prose(rng, 2)]) for _ in range(300)) for _ in range(6)]
+    docs = known.encode(texts)
+    shard = token_files.Shard(token_files.pack(list(range(6)), docs, known))
+    assert all((shard.document(k) == known.ids_of(d)).all() for k, d in enumerate(docs)) and max(shard.lengths) > 4
+    pairs = Counter()
+    for k in range(6):
+        seq = shard.sequence[shard.ends[k] - shard.symbols[k] : shard.ends[k]].tolist()
+        pairs.update(zip(seq, seq[1:-1]))
+    # overlapping occurrences, as in "a a a", count once in two
+    assert max(n for (a, b), n in pairs.items() if a != b) < 2 * token_files.LEAST_USES
 
 
 def test_grammar_round_trips_and_random_access():
