@@ -78,6 +78,16 @@ def test_links_connect_what_all_pairs_connect(spark, in_place):
     assert roots(len(fps), [(place[a], place[b]) for a, b in links]) == expected
 
 
+def test_components_with_busy_nodes_and_no_room_to_broadcast(spark, monkeypatch):
+    """Nodes with many links go back by broadcast and the others by a shuffle, with equal results."""
+    hub = [(1000, k) for k in range(300)] + [(k, k + 1) for k in range(2000, 2040)] + [(3000, 3001), (5, 4000)]
+    links = spark.createDataFrame(hub, "a long, b long")
+    expected = sorted(map(tuple, components.components(links).collect()))
+    monkeypatch.setattr(components, "BROADCAST_BYTES", 640)
+    assert sorted(map(tuple, components.components(links).collect())) == expected
+    assert {r for n, r in expected if n < 2000 or n == 4000} == {0}
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 40)] + [(300, 301), (301, 302), (302, 300), (5, 5)]
     rng = random.Random(3)
