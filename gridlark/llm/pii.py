@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_all long"
 
 
 class Span(NamedTuple):
@@ -183,14 +183,36 @@ def letter_digits(m: Mapped) -> None:
 
 _BRACKETED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(at|@|dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
 _UNDERLINED = re.compile(r"(?<=[A-Za-z0-9])[_-](at|dot)[_-](?=[A-Za-z0-9])", re.I)
-_BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s{1,3}dot\s{1,3}[A-Za-z0-9._%+-]+)*+(?:\s{1,3}at\s{1,3}|@)"
-    r"[A-Za-z0-9-]+(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]+)++",
-    re.I,
-)
+_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:\s{1,3}at\s{1,3}|@)(?=[A-Za-z0-9-])", re.I)
+_DOT_BEFORE = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{1,3}dot\s{1,3}\Z", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]+)++", re.I)
 _BARE_WORD = re.compile(r"\s{1,3}(at|dot)\s{1,3}", re.I)
 _ENTITY = re.compile(r"&(?:#0*64|#x0*40|commat);|%40|&(?:#0*46|#x0*2e|period);", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s{1,2}@\s{0,2}|@\s{1,2})(?=[A-Za-z0-9-]+\.[A-Za-z])")
+
+
+def _bare(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches like "x dot y at z dot org", in time linear in the text: each "at" is extended to both sides once."""
+    floor = 0
+    for x in _AT.finditer(text):
+        if x.start() < floor:
+            continue
+        start = x.start()
+        while True:
+            while start > floor and text[start - 1] in _LOCAL_CHARS:
+                start -= 1
+            dot = _DOT_BEFORE.search(text, max(floor, start - 9), start)
+            if not dot or dot.start() <= floor:
+                break
+            start = dot.start()
+        host = _HOST.match(text, x.end())
+        if host and start < x.start():
+            yield start, host.end()
+            floor = host.end()
+        else:
+            floor = x.end()
+
+
 _AT_OR_DOT = {"at": "@", "@": "@", "dot": ".", ".": "."}
 
 
@@ -211,8 +233,8 @@ def at_dot(m: Mapped) -> None:
             m.rewrite([(*x.span(), _AT_OR_DOT[x[1].lower()]) for x in words])
     if "dot" in low:
         edits = []
-        for x in _BARE.finditer(m.text):
-            words = list(_BARE_WORD.finditer(m.text, *x.span()))
+        for x in _bare(m.text):
+            words = list(_BARE_WORD.finditer(m.text, *x))
             if any(w[1].lower() == "dot" for w in words):
                 edits += [(*w.span(), _AT_OR_DOT[w[1].lower()]) for w in words]
         m.rewrite(edits)
@@ -222,33 +244,35 @@ _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "f
 _SPELLED = re.compile(r"(?<![A-Za-z])(?:(zero|oh|one|two|three|four|five|six|seven|eight|nine)|(double|triple)|(plus)|(dot|point))(?![A-Za-z])|\+|[0-9]++|\.", re.I)
 _GAP = re.compile(r"[\s,()-]{0,3}")
 _TIMES = {"double": 2, "triple": 3}
-#: A run of tokens counts as a spelled number from so many spelled digits.
-LEAST_SPELLED = 3
+#: A run of tokens counts as a spelled number from so many spelled digits, or worded dots between figures.
+LEAST_SPELLED, LEAST_DOTS = 3, 3
+_WORDED_DOT = re.compile(r"[0-9]\s{1,3}(?:dot|point)\s{1,3}[0-9]")
 
 
 def spelled_digits(m: Mapped) -> None:
-    """Runs such as "plus one four one five" or "one two seven dot zero dot zero dot one" become figures."""
+    """Runs such as "plus one four one five", "one two seven dot zero dot zero dot one" or "10 dot 0 dot 0 dot 1" become figures."""
     low = m.text.lower()
-    if not any(w in low for w in ("three", "seven", "eight", "four", "five", "nine", "zero", "two", "six", "one")):
+    if not any(w in low for w in ("three", "seven", "eight", "four", "five", "nine", "zero", "two", "six", "one")) and not _WORDED_DOT.search(low):
         return
-    edits, run, words, at = [], [], 0, -9
+    edits, run, words, dots, at = [], [], 0, 0, -9
 
     def close() -> None:
         while run and run[-1][2] == ".":
             run.pop()
-        if words >= LEAST_SPELLED and run:
+        if (words >= LEAST_SPELLED or dots >= LEAST_DOTS) and run:
             edits.extend((s, e, put) for s, e, put in run)
 
     for x in _SPELLED.finditer(m.text):
         word, times, plus, dot = x[1], x[2], x[3], x[4]
         if not run or not _GAP.fullmatch(m.text, at, x.start()) or plus or x.group() == "+":
             close()
-            run, words = [], 0
+            run, words, dots = [], 0, 0
         if not run and (dot or times or x.group() == "."):
             if not times:
                 continue
         put = _DIGIT_WORDS[word.lower()] if word else "" if times else "+" if plus else "." if dot else x.group()
         words += bool(word)
+        dots += bool(dot)
         if word and run and run[-1][2] == "" and run[-1][3]:
             put *= run[-1][3]
         run.append(_Token(x.start(), x.end(), put, _TIMES[times.lower()] if times else 0))
@@ -322,14 +346,15 @@ def _rewritable(text: str) -> bool:
         return True
     if "&" in low and _ENTITY.search(low):
         return True
-    return any(_has_word(low, w) for w in _DIGIT_WORDS) or bool(_DIGIT.search(low)) and _LETTER_BY_DIGIT.search(low) is not None
+    return any(_has_word(low, w) for w in _DIGIT_WORDS) or _WORDED_DOT.search(low) is not None or bool(_DIGIT.search(low)) and _LETTER_BY_DIGIT.search(low) is not None
 
 
 def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: counts per kind, digest of the base spans, all spans, number of added spans.
+    """One row per input row: counts per kind, digest of the base spans, all spans, number of added spans and of all.
 
     Null texts count as empty (no spans, digest of the empty string); a null id stays null; repeated rows
-    give repeated results; other columns are ignored whatever they are called. Texts are read whole.
+    give repeated results; other columns are ignored whatever they are called. Texts are read whole. An empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +363,8 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             counts = [[sum(s.kind == k for s in base) for base, _ in rows] for k in KINDS]
             digests = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([joined(b + a) for b, a in rows], pa.string()), pa.array([len(a) for _, a in rows], pa.int64())],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
+                [batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([joined(b + a) for b, a in rows], pa.string()), pa.array([len(a) for _, a in rows], pa.int64()), pa.array([len(b) + len(a) for b, a in rows], pa.int64())],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_all"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)

@@ -3,7 +3,10 @@
 A byte-pair vocabulary learned from prose and code needs few tokens for words
 and identifiers and many for random strings. A candidate whose characters per
 token fall below a threshold counts as a secret, unless it is a known digest
-(hex digests, UUIDs, integrity hashes) or reads as an identifier.
+(named as one, UUIDs, integrity hashes) or reads as an identifier. Words of one
+case pass by their ratio alone: of random strings of 20 to 40 letters 95 in 100
+have less than 2 characters a token, long words have more. Tokens hold up to
+four figures, so numbers have a ratio of their own.
 """
 
 from __future__ import annotations
@@ -19,18 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "random")
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long, n_all long"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Fewer characters per token than this, from so many characters on, mean a random string.
-MAX_RATIO, LEAST_CHARS = 2.0, 20
+#: Fewer characters per token than this, from so many characters on, mean a random string; the second ratio is that of plain numbers.
+MAX_RATIO, NUMBER_RATIO, LEAST_CHARS = 2.0, 2.7, 20
+#: Shorter strings, from so many characters on, count if they have letters and figures.
+LEAST_MIXED = 16
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Digests and identifiers that are no secrets (fixed values): hex of usual digest lengths, UUIDs, integrity values.
-_HEX_DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Digests and identifiers that are no secrets (fixed values): hex of usual digest lengths (in capitals only where named as such; of lower-case hex there is a base kind), UUIDs, integrity values.
+_HEX_DIGEST = re.compile(r"[0-9a-fA-F]+")
 _DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
+_DIGEST_NAME = re.compile(r"(?:md5|sha-?[0-9]{1,3}|digest|checksum|fingerprint|etag|commit|revision)[\"']?[\x20:=\"']{1,4}\Z", re.I)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _INTEGRITY = re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-=/][A-Za-z0-9+/=_-]+", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}")
@@ -47,15 +53,15 @@ def encoding(path: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def excluded(s: str) -> bool:
-    """Known digests, and identifiers: strings without digits or of one word shape, and names put together from words."""
-    if not re.search(r"[0-9]", s) and (s.islower() or s.isupper() or s.istitle()):
+def excluded(s: str, before: str = "") -> bool:
+    """Known digests, also by the name ``before`` them, and identifiers: repetitions, figures in a row, and names put together from words."""
+    if len(set(s)) < 6 or s.isdigit() and len({(int(b) - int(a)) % 10 for a, b in zip(s, s[1:], strict=False)}) == 1:
         return True
-    if not re.search(r"[A-Za-z]", s) or len(set(s)) < 6:
-        return True
-    if _HEX_DIGEST.fullmatch(s) and len(s) in _DIGEST_LENGTHS or _UUID.fullmatch(s) or _INTEGRITY.fullmatch(s):
+    if _HEX_DIGEST.fullmatch(s) and len(s) in _DIGEST_LENGTHS and (s == s.lower() or _DIGEST_NAME.search(before)) or _UUID.fullmatch(s) or _INTEGRITY.fullmatch(s):
         return True
     parts = [p for p in re.split(r"[_/+=-]+", s) if p]
+    if len(parts) == 1 and (s.isalpha() and (s.islower() or s.isupper()) or s.isdigit()):
+        return False
     return bool(parts) and sum(len(w) for p in parts for w in _WORDS.findall(p) if len(w) > 3 or w.isdigit()) >= 0.8 * sum(map(len, parts)) and max(map(len, parts)) < 20
 
 
@@ -64,8 +70,11 @@ def random_strings(text: str, path: str | None = None, max_ratio: float = MAX_RA
     for m in _CANDIDATE.finditer(text):
         s = m.group()
         core = s.strip("=-_/+")
-        if len(core) >= LEAST_CHARS and not excluded(core) and len(core) < max_ratio * len(encoding(path).encode_ordinary(core)):
-            at = m.start() + s.index(core)
+        if len(core) < LEAST_CHARS and (len(core) < LEAST_MIXED or core.isalpha() or core.isdigit()):
+            continue
+        at = m.start() + s.index(core)
+        ratio = NUMBER_RATIO if core.isdigit() else max_ratio
+        if not excluded(core, text[max(0, at - 24) : at]) and len(core) < ratio * len(encoding(path).encode_ordinary(core)):
             found.append((at, at + len(core)))
     return found
 
@@ -90,10 +99,11 @@ def find(text: str | None, path: str | None = None) -> tuple[list, list]:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """One row per input row: counts per kind, digest of the base spans, all spans, number of random strings.
+    """One row per input row: counts per kind, digest of the base spans, all spans, number of random strings and of all spans.
 
     ``vocabulary`` is the path of a ranks file that every executor has. Null texts count as empty; null ids stay
-    null; repeated rows give repeated results; other columns are ignored. Texts are read whole.
+    null; repeated rows give repeated results; other columns are ignored. Texts are read whole. An empty table gives
+    an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +111,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [find(t, vocabulary) for t in batch.column(1).to_pylist()]
             count = lambda k: pa.array([sum(x[0] == k for x in b) for b, _ in rows], pa.int64())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), *map(count, KINDS[:3]), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in rows], pa.string()), pa.array([joined(b + a) for b, a in rows], pa.string()), pa.array([len(a) for _, a in rows], pa.int64())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"],
+                [batch.column(0).cast(pa.int64()), *map(count, KINDS[:3]), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in rows], pa.string()), pa.array([joined(b + a) for b, a in rows], pa.string()), pa.array([len(a) for _, a in rows], pa.int64()), pa.array([len(b) + len(a) for b, a in rows], pa.int64())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random", "n_all"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)

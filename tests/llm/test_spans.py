@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import string
@@ -90,5 +91,77 @@ def test_odd_tables(odd, odd_wide, none):
 
 
 def test_long_runs_take_linear_time():
-    for t in ("1" * 300_000, "a." * 150_000, "a" * 300_000 + "@", "1." * 150_000, "+1" * 100_000):
+    for t in ("a dot " * 80_000, "a at " * 80_000, "x at a dot " * 40_000, "a@" * 100_000, "1 dot " * 80_000, "1" * 300_000, "a." * 150_000, "a" * 300_000 + "@", "1." * 150_000, "+1" * 100_000):
         pii.find(t)
+
+
+def test_query_columns_are_the_patterns(odd):
+    """Counts and digests of op1 and op6, by the patterns as stated."""
+    rng = random.Random(11)
+    words = ["a.b@c.de", "x@y", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "+1 (555) 010-9999", "token=abcdefgh12", "AKIA" + "Z9" * 8, "0123456789abcdef" * 2, "plain", "é", "\n"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, ""]
+    docs = odd.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for scan, plain, kinds in ((pii.detect_pii, plain_pii, pii.KINDS), (secrets.scan_secrets, plain_secrets, secrets.KINDS[:3])):
+        for r in scan(docs).collect():
+            base = sorted(plain(texts[r.doc_id] or ""), key=lambda x: (x[1], kinds.index(x[0])))
+            assert [r[f"n_{k}"] for k in kinds] == [sum(b[0] == k for b in base) for k in kinds]
+            assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+            assert r.n_all == len([x for x in r.spans.split(",") if x]) >= len(base)
+
+
+_FIGURES = "zero one two three four five six seven eight nine".split()
+_HOMOGLYPHS = str.maketrans("aeopcx", "аеорсх")
+_WIDE = str.maketrans({chr(c): chr(c + 0xFEE0) for c in range(48, 58)})
+
+
+def _spelled(t):
+    return " ".join(_FIGURES[int(c)] if c.isdigit() else {".": "dot", "+": "plus"}.get(c, c) for c in t)
+
+
+def planted(rng):
+    """(kind, disguise, text) of made-up identifiers, each disguised in every way that its kind allows."""
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    user, host, top = letters(5) + rng.choice(["", ".", "_"]) + letters(4), letters(6), rng.choice(["com", "org", "net"])
+    for name, at, dot in (("brackets", " [at] ", " [dot] "), ("round", "(at)", "(dot)"), ("words", " at ", " dot "), ("signs", "[@]", "[.]"), ("references", "&#64;", "&#46;"), ("spaced", " @ ", ".")):
+        yield "email", name, f"{user}{at}{host}{dot}{top}"
+    yield "email", "homoglyphs", f"{user}a@{host}o.{top}".translate(_HOMOGLYPHS)
+    yield "email", "invisible", f"{user}@{host[:3]}\u200b{host[3:]}.{top}"
+    ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    yield "ip", "brackets", ip.replace(".", "[.]")
+    yield "ip", "words", ip.replace(".", " dot ")
+    yield "ip", "spelled", _spelled(ip)
+    yield "ip", "wide", ip.translate(_WIDE)
+    card = "".join(rng.choice("123456789") for _ in range(15))
+    card += next(d for d in string.digits if pii.luhn(card + d))
+    yield "card", "spelled", _spelled(card)
+    yield "card", "wide", card.translate(_WIDE)
+    yield "card", "letters", card.replace("1", "l", 3)
+    phone = "+1" + "".join(rng.choice("23456789") for _ in range(10))
+    yield "phone", "spelled", _spelled(phone)
+    yield "phone", "wide", "+" + phone[1:].translate(_WIDE)
+    yield "phone", "invisible", phone[:5] + "\u200b" + phone[5:]
+
+
+def test_recall_of_planted_disguises():
+    """Of each kind and disguise at least 9 in 10 are found at their place."""
+    rng, tried, hit = random.Random(12), {}, {}
+    for _ in range(200):
+        for kind, name, t in planted(rng):
+            source = f"call it, {t}, she said"
+            spans = [(s.kind, source[s.start : s.end]) for s in sum(pii.find(source), [])]
+            tried[kind, name] = tried.get((kind, name), 0) + 1
+            hit[kind, name] = hit.get((kind, name), 0) + ((kind, t) in spans)
+    recall = {k: hit[k] / n for k, n in tried.items()}
+    print({f"{k}/{n}": r for (k, n), r in recall.items()})
+    assert min(recall.values()) >= 0.9, recall
+
+
+def test_recall_of_random_strings():
+    """Random strings of any one case, of figures, and of capital hex, in a text; names and long words aren't found."""
+    rng = random.Random(13)
+    for signs, lengths, least in ((string.ascii_lowercase, (24, 32, 40), 0.9), (string.ascii_uppercase, (24, 32, 40), 0.95), (string.digits, (20, 24, 28), 0.9), ("0123456789ABCDEF", (24, 32, 40), 0.9), (string.ascii_letters + string.digits, (16, 18, 24, 40), 0.97)):
+        for n in lengths:
+            keys = ["".join(rng.choices(signs, k=n)) for _ in range(300)]
+            assert sum(bool(secrets.random_strings(f"say {k} now")) for k in keys) >= least * len(keys), (signs, n)
+    for t in ("electroencephalograph", "counterrevolutionaries", "bundesverfassungsgericht", "THISISAVERYLONGIDENTIFIER", "mysqlconnectionpoolmanager", "sha256: " + "0123456789ABCDEF" * 4):
+        assert secrets.random_strings(t) == [], t
