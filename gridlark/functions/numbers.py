@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,15 @@ def plain(c: Column) -> Column:
     return F.when(t.rlike(_PLAIN), F.when(negative, -size).otherwise(size))
 
 
+def plain_value(t: str) -> float | None:
+    """What ``plain`` makes of a text, for constants."""
+    t = t.strip(" ")
+    if not re.fullmatch(_PLAIN[1:-1], t, re.A):
+        return None
+    size = float(re.search(_BODY, t).group().replace(",", ""))
+    return -size if t[0] in "-(" or t[-1] == "-" else size
+
+
 def currency(c: Column, symbol_needed: bool = False) -> Column:
     """Number with one currency symbol before or after it, or without unless one is needed."""
     t = F.trim(c)

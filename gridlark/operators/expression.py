@@ -12,9 +12,12 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numbers, texts
-from .filters import Cells
+from .filters import _COMPARE, Cells, cell_equals, compared, is_one_of
+
+_TEXT = T.StringType()
 
 
 class ExpressionError(ValueError):
@@ -77,14 +80,14 @@ class _Reader:
             return inner
         if kind not in ("bare", "quoted"):
             raise ExpressionError("a column is missing")
-        cell = self.cells(self.column(value if kind == "bare" else f'"{value}"'))[0].cast("string")
+        cell, of = self.cells(self.column(value if kind == "bare" else f'"{value}"'))
         _, op = self.next()
         if op.lower() not in _OPERATORS:
             raise ExpressionError(f"unknown operator {op!r}")
         kind, operand = self.next()
         if kind not in ("bare", "quoted"):
             raise ExpressionError("a value is missing")
-        return comparison(cell, op.lower(), operand)
+        return comparison(cell, op.lower(), operand, of)
 
     def column(self, token: str) -> int:
         for k, name in enumerate(self.headers):
@@ -96,17 +99,26 @@ class _Reader:
         raise ExpressionError(f"unknown column {token!r}")
 
 
-def comparison(cell: Column, op: str, value: str) -> Column:
-    """One comparison of a cell's text; a missing cell fails all but ``!=``."""
+def comparison(cell: Column, op: str, value: str, kind: T.DataType = _TEXT) -> Column:
+    """One comparison of a cell's text; a missing cell fails all but ``!=`` (null counts as false).
+
+    Whole and double columns are compared with a number as they are, so that the scan can skip rows.
+    """
+    whole = isinstance(kind, T.IntegralType)
+    t = cell.cast("string")
     if op == "contains":
-        return F.coalesce(texts.contains_loosely(cell, value) & cell.isNotNull(), F.lit(False))
+        return texts.contains_loosely(t, value) & cell.isNotNull()
     if op in ("=", "=="):
-        return F.coalesce(cell == F.lit(value), F.lit(False))
+        return cell_equals(cell, value, kind)
     if op == "!=":
-        return F.coalesce(cell != F.lit(value), F.lit(True))
-    test = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}[op]
-    left, right = numbers.plain(cell), numbers.plain(F.lit(value))
-    return F.coalesce(F.when(left.isNotNull() & right.isNotNull(), test(left, right)).otherwise(test(F.upper(cell), F.upper(F.lit(value)))), F.lit(False))
+        return cell.isNull() | (~is_one_of(cell, kind, [value]) if whole else t != F.lit(value))
+    number = numbers.plain_value(value)
+    found = compared(cell, kind, op, number) if number is not None else None
+    if found is not None:
+        return found
+    test = _COMPARE[op]
+    left, right = numbers.plain(t), numbers.plain(F.lit(value))
+    return F.when(left.isNotNull() & right.isNotNull(), test(left, right)).otherwise(test(F.upper(t), F.upper(F.lit(value))))
 
 
 def compile_expression(source: str, headers: list[str], cells: Cells) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -17,6 +19,33 @@ from ..functions import numbers, temporal, texts
 Cells = Callable[[int], tuple[Column, T.DataType]]
 FEW_VALUES = 12
 
+# Conditions are null where a cell is missing, which a filter takes for false; so plain comparisons of typed columns
+# with constants stay visible to the optimizer and reach the scan.
+
+
+def is_one_of(cell: Column, kind: T.DataType, values: list[str]) -> Column:
+    """The cell's text is one of the values."""
+    if isinstance(kind, T.StringType):
+        return cell.isin(*values) if values else F.lit(False)
+    if isinstance(kind, T.IntegralType):
+        written = [int(v) for v in values if re.fullmatch("0|-?[1-9][0-9]{0,17}", v)]
+        return cell.isin(*written) if written else F.lit(False)
+    return numbers.text(cell).isin(*values) if values else F.lit(False)
+
+
+_COMPARE = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+
+def compared(cell: Column, kind: T.DataType, op: str, value: float) -> Column | None:
+    """A whole or double column against a number; None for other columns, or numbers that a whole column's type may not hold."""
+    if isinstance(kind, T.DoubleType) and math.isfinite(value):
+        return _COMPARE[op](cell, F.lit(float(value)))
+    if isinstance(kind, T.IntegralType) and abs(value) < 2**31 - 1:
+        # the whole numbers on the same side
+        whole = math.floor(value) if op in (">", "<=") else math.ceil(value)
+        return _COMPARE[op](cell, F.lit(whole))
+    return None
+
 
 @dataclass(frozen=True)
 class Values:
@@ -27,9 +56,17 @@ class Values:
     blanks: bool = False
 
     def condition(self, cell: Column, kind: T.DataType) -> Column:
-        t = numbers.text(cell)
-        found = t.isin(*[v for v in self.values if v != ""]) if any(self.values) else F.lit(False)
-        return found | (t == "") if self.blanks or "" in self.values else found
+        found = is_one_of(cell, kind, [v for v in self.values if v != ""])
+        if not self.blanks and "" not in self.values:
+            return found
+        return found | cell.isNull() | (cell == "") if isinstance(kind, T.StringType) else found | (numbers.text(cell) == "")
+
+
+def _day(end: float | str) -> datetime.date | None:
+    try:
+        return datetime.date.fromisoformat(str(end))
+    except ValueError:
+        return None
 
 
 @dataclass(frozen=True)
@@ -57,16 +94,30 @@ class Range:
             return F.lit(int(h) * 3600 + int(m) * 60 + float(s[0] if s else 0))
         return F.lit(str(end)).cast("date" if self.kind == "date" else "timestamp_ntz")
 
+    def _plain(self, cell: Column, kind: T.DataType) -> list[Column] | None:
+        """Comparisons of the column itself, where its type allows them."""
+        ends = [(op, e) for op, e in ((">=", self.low), ("<=", self.high)) if e is not None]
+        if self.kind == "number":
+            found = [compared(cell, kind, op, float(e)) for op, e in ends]
+            return None if any(f is None for f in found) else found + ([cell <= F.lit(math.inf)] if isinstance(kind, T.DoubleType) and self.high is None else [])  # NaN is greater than all
+        if self.kind not in ("date", "datetime") or not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return None
+        if self.kind == "datetime":
+            return None if isinstance(kind, T.DateType) else [_COMPARE[op](cell, F.lit(str(e)).cast(kind)) for op, e in ends]
+        days = [(op, _day(e)) for op, e in ends]
+        if any(d is None for _, d in days):
+            return None
+        if isinstance(kind, T.DateType):
+            return [_COMPARE[op](cell, F.lit(d)) for op, d in days]
+        # a day ends before the next one begins
+        return [cell >= F.lit(str(d)).cast(kind) if op == ">=" else cell < F.lit(str(d + datetime.timedelta(1))).cast(kind) for op, d in days]
+
     def condition(self, cell: Column, kind: T.DataType) -> Column:
-        # on columns that have the type already, plain comparisons with literals reach the scan
-        typed = self.kind == "number" and isinstance(kind, T.IntegralType) or self.kind == "datetime" and isinstance(kind, T.TimestampNTZType)
-        v = cell if typed else self._value(cell, kind)
-        found = v.isNotNull()
-        if self.low is not None:
-            found &= v >= self._end(self.low)
-        if self.high is not None:
-            found &= v <= self._end(self.high)
-        return F.coalesce(found, F.lit(False))
+        found = self._plain(cell, kind)
+        if found is None:
+            v = self._value(cell, kind)
+            found = [v.isNotNull()] + [_COMPARE[op](v, self._end(e)) for op, e in ((">=", self.low), ("<=", self.high)) if e is not None]
+        return reduce(lambda a, b: a & b, found) if found else cell.isNotNull()
 
 
 TEXT_SIGNS = {"contains": "⊃", "equals": "=", "starts": "^", "ends": "$", "regex": "/./", "blank": "= ∅", "not_blank": "≠ ∅", "in_list": "∈"}
@@ -87,12 +138,14 @@ class Text:
     def condition(self, cell: Column, kind: T.DataType) -> Column:
         t = numbers.text(cell)
         if self.op == "blank":
-            return t == ""
+            return cell.isNull() | (cell == "") if isinstance(kind, T.StringType) else t == ""
         if self.op == "not_blank":
-            return t != ""
+            return cell != "" if isinstance(kind, T.StringType) else t != ""
         if self.op == "regex":
             pattern = texts.regex_or_none(self.value, not self.case)
             return F.lit(False) if pattern is None else t.rlike(pattern)
+        if self.case and isinstance(kind, T.StringType) and self.value and self.op in ("equals", "starts"):
+            return cell == F.lit(self.value) if self.op == "equals" else cell.startswith(self.value)
         same = (lambda x: x) if self.case else F.upper
         if self.op == "in_list":
             listed = self.listed()
@@ -160,9 +213,11 @@ def text_contains(cells: list[Column], term: str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.upper(numbers.text(c)), F.upper(F.lit(term))) for c in cells], F.lit(False))
 
 
-def cell_equals(cell: Column, value: str) -> Column:
+def cell_equals(cell: Column, value: str, kind: T.DataType | None = None) -> Column:
     """Exact equality with a cell's text; a missing cell never matches."""
-    return F.coalesce(cell.cast("string") == F.lit(value), F.lit(False))
+    if isinstance(kind, T.IntegralType):
+        return is_one_of(cell, kind, [value])
+    return cell.cast("string") == F.lit(value)
 
 
 def combined(conditions: list[Column], match_any: bool = False) -> Column:

@@ -96,7 +96,7 @@ class View:
         if self.term:
             text, k = self.term
             found.append(filters.text_contains(self.cells() if k is None else [self.cell(k)[0]], text))
-        found += [filters.cell_equals(self.cell(k)[0], v) for k, v in self.equal]
+        found += [filters.cell_equals(self.cell(k)[0], v, self.cell(k)[1]) for k, v in self.equal]
         found += [compile_expression(s, list(self.names), self.cell) for s in self.expressions]
         return filters.combined(found + list(self.extra), self.match_any)
 

@@ -108,3 +108,36 @@ def test_saved_views(people):
 
 def test_record(people):
     assert [tuple(r) for r in people.record(_row=4).collect()] == [("name", "Dée"), ("age", ""), ("city", "")]
+
+
+PUSHED = {"filter_numeric_range": "l_extendedprice", "filter_numeric_open": "p_size", "filter_date_range": "l_shipdate", "filter_datetime_range": "ts", "filter_values": "o_orderstatus", "filter_by_cell": "o_orderpriority", "filter_all": "o_totalprice", "filter_any": "o_totalprice", "filter_incremental": "o_orderpriority", "expr_and_or": "p_size", "expr_neq": "c_custkey", "expr_mixed_compare": "c_nationkey"}
+
+
+def test_filters_reach_the_scan(spark):
+    """The column is among the filters that the Parquet reader gets."""
+    from gridlark import catalog
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    for name, column in PUSHED.items():
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+        assert column in pushed.replace(f"IsNotNull({column})", ""), (name, pushed)
+
+
+def test_typed_comparisons_equal_those_of_text(spark):
+    """Whole and double columns, nulls and NaN included, give the rows that their text gives."""
+    from pyspark.sql import functions as F
+
+    from gridlark.operators import expression, filters
+
+    rows = [(None, None), (0, 0.0), (-3, -3.5), (7, float("nan")), (30, 30.0), (31, 30.5), (2**31 - 1, 1e10), (-(2**31), -1e-3)]
+    df = spark.createDataFrame(rows, "i int, d double")
+    for column in ("i", "d"):
+        kind = df.schema[column].dataType
+        for value in ("30", "30.5", "-3", "0", "-3.5", "007", "1e10", "99999999999", "(3)", "x", "NaN"):
+            for op in ("=", "!=", ">", ">=", "<", "<="):
+                typed, text = expression.comparison(F.col(column), op, value, kind), expression.comparison(F.col(column).cast("string"), op, value)
+                assert df.filter(typed).collect().__repr__() == df.filter(text).collect().__repr__(), (column, op, value)
+        for low, high in ((None, 30.0), (30.2, None), (-3.5, 30.0), (0.0, 0.0)):
+            typed, text = (filters.Range(0, "number", low, high).condition(c, k) for c, k in ((F.col(column), kind), (F.col(column).cast("string"), df.select(F.col(column).cast("string").alias("t")).schema["t"].dataType)))
+            assert df.filter(typed).collect().__repr__() == df.filter(text).collect().__repr__(), (column, low, high)
