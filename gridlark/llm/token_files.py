@@ -201,8 +201,8 @@ class _Rules:
         return out[self.base :]
 
 
-def _classes(keys: np.ndarray, weight: np.ndarray | None, salt: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs that occur often, their class, and per class the pair and its uses.
+def _classes(keys: np.ndarray, weight: np.ndarray | None, salt: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that occur often, their class, per class the pair and its uses, and places of pairs that have to wait.
 
     A hash of the pairs finds those that can be frequent. If these are few, or on demand, they are counted exactly;
     otherwise of the pairs that share a slot of the hash one is counted and the others have to wait.
@@ -214,15 +214,15 @@ def _classes(keys: np.ndarray, weight: np.ndarray | None, salt: int, exact: bool
     weight = None if weight is None else weight.take(can)
     if exact or len(can) <= EXACT_PAIRS:
         pairs, of = np.unique(keys, return_inverse=True)
-        uses = np.bincount(of, weight, len(pairs))
+        uses, waiting = np.bincount(of, weight, len(pairs)), can[:0]
     else:
         pairs, of = np.zeros(1 << bits, np.int64), slot
         pairs[slot] = keys
         mine = pairs.take(slot) == keys
         uses = np.bincount(slot, mine if weight is None else mine * weight, 1 << bits)
-        can, of = can[mine], of[mine]
+        can, of, waiting = can[mine], of[mine], can[~mine]
     often = (uses >= LEAST_USES).take(of)
-    return can[often], of[often], pairs, uses
+    return can[often], of[often], pairs, uses, waiting
 
 
 def _settled(at: np.ndarray, follow: np.ndarray, of: np.ndarray, uses: np.ndarray) -> np.ndarray:
@@ -246,12 +246,12 @@ _SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 def _replace(seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rules: _Rules) -> tuple[np.ndarray, np.ndarray]:
     """The sequence and its ends after all rules that pay; symbols at ``ends`` are in no pair, ``weight`` is how often each place counts.
 
-    After the first round only pairs with a new symbol are looked at, as long as there are any; it ends when a look
-    at all pairs finds none.
+    After the first round it looks at pairs with a new symbol, and at those that had to wait or lost to a neighbour;
+    where that finds nothing, at all pairs, and if these have none to replace it ends.
     """
     n = len(seq)
     ends = np.append(ends, True)
-    after, before, alive = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool)
+    after, before, alive, look = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool), np.zeros(n, bool)
     at, turn, exact = None, 0, False
     while True:
         whole = at is None
@@ -261,30 +261,34 @@ def _replace(seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rules
         free = ~(ends.take(at) | ends.take(follow))
         at, follow = at[free], follow[free]
         keys = seq.take(at) * rules.following + seq.take(follow)
-        found, of, pairs, uses = _classes(keys, None if weight is None else weight.take(at), _SALTS[turn % 2], exact)
+        found, of, pairs, uses, waiting = _classes(keys, None if weight is None else weight.take(at), _SALTS[turn % 2], exact)
+        look[:] = False
+        look[at.take(waiting)] = True
         at, follow, turn = at.take(found), follow.take(found), turn + 1
         taken = _settled(at, follow, of, uses)
+        look[at[~taken]] = True
         at, follow, of = at[taken], follow[taken], of[taken]
         # overlaps may leave a pair with too few uses
         used = np.bincount(of, None if weight is None else weight.take(at), len(pairs))
         made = np.flatnonzero(used >= LEAST_USES)
         if not len(made):
-            if whole and (exact or len(found) <= EXACT_PAIRS):
+            if whole and not len(waiting):
                 return seq[alive], ends[:n][alive]
             at, exact = None, whole
             continue
         number = np.full(len(pairs), -1)
         number[made] = np.arange(len(made))
         symbol = number.take(of)
-        pays = symbol >= 0
-        at, follow = at[pays], follow[pays]
-        seq[at] = symbol[pays] + rules.add(pairs[made])
+        if len(made) < np.count_nonzero(used):
+            pays = symbol >= 0
+            at, follow, symbol = at[pays], follow[pays], symbol[pays]
+        seq[at] = symbol + rules.add(pairs[made])
         alive[follow] = False
         following = after.take(follow)
         after[at], before[following] = following, at
-        fresh = np.empty(2 * len(at), np.int64)
-        fresh[::2], fresh[1::2] = np.maximum(before.take(at), 0), at
-        at, exact = fresh[np.diff(fresh, prepend=-1) > 0], False
+        look[at] = look[np.maximum(before.take(at), 0)] = True
+        look &= alive
+        at, exact = np.flatnonzero(look), False
 
 
 def compress(order: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Grammar:
