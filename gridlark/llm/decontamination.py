@@ -72,14 +72,15 @@ def phrase_matches(items: DataFrame, vocabulary: DataFrame, postings: DataFrame,
     """
     pairs, _ = written(rarest_pairs(items, vocabulary, postings, window), "pairs")
     hits = postings.join(small(pairs, 40), F.col("tid") == F.col("a_tid"))
-    hits = hits.select("d", "h", "it", (F.col("pos") - F.col("a")).alias("diagonal"), (F.col("pos") - F.col("a") + F.col("b")).cast("int").alias("pos"), F.col("b_tid").alias("tid"))
+    hits = hits.select("d", "h", "it", (F.col("pos") - F.col("a")).alias("diagonal"), (F.col("pos") - F.col("a") + F.col("b")).cast("int").alias("pos"), F.col("b_tid").alias("tid")).distinct()
     others = small(pairs.select(F.col("b_tid").alias("tid")).distinct(), 24)
-    seconds = postings.join(others, "tid", "left_semi")
+    # rows that repeat id and text have the same postings, of which one is enough
+    seconds = postings.join(others, "tid", "left_semi").distinct()
     met, _ = written(hits.join(seconds, ["d", "h", "pos", "tid"]).select("d", "h", "it", "diagonal").distinct(), "met")
 
     whole = items.select("it", F.size("words").alias("n"), F.posexplode("words").alias("ipos", "term")).join(small(vocabulary, 64), "term").select("it", "n", "ipos", "tid")
     asked = met.join(small(whole, 40), "it").select("d", "h", "it", "diagonal", "n", "ipos", (F.col("diagonal") + F.col("ipos")).alias("pos"), "tid")
-    within = postings.join(small(met.select("d", "h").distinct(), 32), ["d", "h"], "left_semi")
+    within = postings.join(small(met.select("d", "h").distinct(), 32), ["d", "h"], "left_semi").distinct()
     agreed = asked.join(within, ["d", "h", "pos", "tid"]).groupBy("d", "h", "it", "diagonal").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("ipos")).alias("at"))
     # a position starts a run where the one before is missing; a run is as long as the item at most
     run = F.transform("at", lambda p, i: F.struct((p - i).alias("run"), p.alias("p")))
