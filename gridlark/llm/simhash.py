@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -105,8 +105,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     rooted = nodes.join(components(links(nodes.select("fp"), radius)), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted, _ = written(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return known.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    of, _ = written(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "of")
+    return known.join(small(of, 24), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
