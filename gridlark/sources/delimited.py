@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +113,52 @@ def rows(text: str, delimiter: str) -> Iterator[list[str]]:
         row = []
 
 
+#: Bytes of records that are parsed one by one where they can't be parsed at once.
+_FEW = 1 << 16
+
+
+def _split(body: bytes, delimiter: bytes) -> int:
+    """The end of the record that the middle of some records is in; 0 if there is none before their end."""
+    middle = len(body) // 2
+    state = scan(body[:middle], FIELD, delimiter)[0].state
+    if state == RETURN and body[middle] != 10:
+        return middle
+    end = scan(body[middle:], state, delimiter)[1]
+    return middle + end if 0 < end < len(body) - middle else 0
+
+
+def tables(body: bytes, delimiter: str, width: int) -> Iterator[tuple[list[pa.Array], pa.Array]]:
+    """Columns of UTF-8 records, as texts, and the cells beyond ``width`` of each.
+
+    Arrow parses all records at once if they have ``width`` cells; otherwise the halves are tried, and few records go
+    through ``rows``, which also takes short, long and blank ones and what isn't UTF-8.
+    """
+    names = [f"c{i}" for i in range(width)]
+    try:
+        if b"\0" in body:
+            raise pa.ArrowInvalid("a zero byte")
+        found = csv.read_csv(
+            pa.BufferReader(body),
+            csv.ReadOptions(use_threads=False, block_size=max(len(body) + 1, 1 << 16), column_names=names),
+            csv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
+            csv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
+        ).combine_chunks()
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.columns]
+        columns = [c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in columns]
+        if b"\r" in body:
+            columns = [pc.replace_substring(pc.replace_substring(c, "\r\n", "\n"), "\r", "\n") if pc.any(pc.match_substring(c, "\r")).as_py() else c for c in columns]
+        none = pa.ListArray.from_arrays(pa.array([0] * (len(found) + 1), pa.int32()), pa.array([], pa.string()))
+        yield columns, none
+    except pa.ArrowInvalid:
+        cut = _split(body, delimiter.encode()) if len(body) > _FEW else 0
+        if cut:
+            yield from tables(body[:cut], delimiter, width)
+            yield from tables(body[cut:], delimiter, width)
+            return
+        some = list(rows(body.decode("utf-8", "replace"), delimiter))
+        yield [pa.array([c[j] if j < len(c) else "" for c in some], pa.string()) for j in range(width)], pa.array([c[width:] for c in some], pa.list_(pa.string()))
+
+
 @dataclass(frozen=True)
 class Delimited:
     """What is known of a file: its place, encoding, delimiter, header and size."""
@@ -180,7 +228,7 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
 
     outcomes = index_cache.load(cache, source.path, source.delimiter, range_bytes) if cache else None
     if outcomes is None:
-        plan = spark.createDataFrame(ranges, "k int, s long, e long").repartition(len(ranges), "k")
+        plan = spark.createDataFrame(ranges, "k int, s long, e long").repartitionById(len(ranges), F.col("k"))
         # a handful of numbers for each range
         outcomes = [(list(x.states), list(x.records)) for x in sorted(plan.mapInArrow(survey, "k int, states array<int>, records array<long>").collect())]
         if cache:
@@ -213,17 +261,18 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
                             break
                         left = outcome.state
                 number = row if fresh else row + 1
-                made = []
-                for cells in rows(body.decode(source.encoding, "replace"), source.delimiter):
-                    if number > 0 or not header:
-                        made.append((number if header else number + 1, cells))
-                    number += 1
+                if source.encoding not in ("utf-8", "ascii"):
+                    body = body.decode(source.encoding, "replace").encode()
                 width = len(names)
-                for i in range(0, len(made), 10_000):
-                    some = made[i : i + 10_000]
-                    columns = [pa.array([c[j] if j < len(c) else "" for _, c in some], pa.string()) for j in range(width)]
-                    extra = pa.array([c[width:] for _, c in some], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), *columns, extra], names=["_row", *[f"c{j}" for j in range(width)], "_extra"])
-
-    work = spark.createDataFrame(begins, "k int, s long, e long, state int, row long, first boolean, left int").repartition(len(ranges), "k")
+                for columns, extra in tables(body, source.delimiter, width):
+                    n = len(extra)
+                    numbers = pa.array(range(number + (not header), number + n + (not header)), pa.int64())
+                    batch_of = pa.RecordBatch.from_arrays([numbers, *columns, extra], names=["_row", *[f"c{j}" for j in range(width)], "_extra"])
+                    if header and number <= 0:
+                        batch_of = batch_of.slice(1 - number)
+                    number += n
+                    for k in range(0, batch_of.num_rows, 10_000):
+                        yield batch_of.slice(k, 10_000)
+
+    work = spark.createDataFrame(begins, "k int, s long, e long, state int, row long, first boolean, left int").repartitionById(len(ranges), F.col("k"))
     return work.mapInArrow(parse, schema), names

@@ -223,3 +223,17 @@ def test_tables_and_streams(spark, tmp_path):
     stream = live.arriving(spark, str(tmp_path / "in"), df)
     live.run_available(live.running_counts(stream, ["k"], F.col("x"), F.col("x") > 2), "seen")
     assert sorted(map(tuple, spark.table("seen").collect())) == [("a", 1, 5.0), ("b", 1, 7.0)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", ",", ",", '"', '""', "\n", "\r\n", "\r", "x,y,z\n", '"q\r\nr",s,t\n', "é", " "]), max_size=40).map("".join))
+def test_records_parsed_at_once_equal_those_parsed_one_by_one(t):
+    """Ragged, blank and quoted records included; pieces are made small, so that records are cut apart as well."""
+    few, delimited._FEW = delimited._FEW, 4
+    try:
+        found = []
+        for columns, extra in delimited.tables(t.encode(), ",", 3):
+            found += [list(r) for r in zip(*[c.to_pylist() for c in columns], extra.to_pylist(), strict=True)]
+    finally:
+        delimited._FEW = few
+    assert found == [[*(r[j] if j < len(r) else "" for j in range(3)), r[3:]] for r in delimited.rows(t, ",")]
