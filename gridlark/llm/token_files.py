@@ -47,7 +47,7 @@ LEAST_USES = 4
 #: Bits of the table that counts pairs by a hash; pairs that share a slot are told apart in a later round.
 PAIR_BITS, EXACT_PAIRS = 20, 1 << 16
 #: Words whose ids are remembered per process; at this number the memory starts anew with the next shard.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_000_000
 
 MAGIC = b"RPR1"
 SHARD_SCHEMA = "part int, shard int, docs long, ids long, payload binary"
@@ -78,8 +78,8 @@ _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enu
 class Words(dict):
     """Numbers of the words met so far, whose ids lie one after the other; a new word is encoded when it is asked for.
 
-    Letters and the signs that end a word are different pieces for the pre-tokenizer and are remembered apart. Plain
-    words go straight to the vocabulary's merges, all others through the whole tokenizer. Number 0 is the end.
+    Letters and the signs that end a word are different pieces for the pre-tokenizer, so that a word with signs is put
+    together from the word without and the signs. Plain words go straight to the vocabulary's merges, all others through the whole tokenizer. Number 0 is the end.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -99,15 +99,14 @@ class Words(dict):
     def start_anew(self) -> None:
         self.clear()
         self[_END] = 0
-        self.pieces: dict[str, list[int]] = {}
+        self.signs: dict[str, array] = {}
         self.ids, self.begin = array("I", [END_ID]), array("q", [0, 1])
 
-    def piece(self, s: str) -> list[int]:
+    def piece(self, s: str) -> array:
         chars = s if s.isascii() else "".join([_BYTE_CHARS[b] for b in s.encode()])
-        found = self.pieces[s] = [t.id for t in self.merges.tokenize(chars)]
-        return found
+        return array("I", [t.id for t in self.merges.tokenize(chars)])
 
-    def add(self, ids: list[int]) -> int:
+    def add(self, ids: array | list[int]) -> int:
         self.ids.extend(ids)
         self.begin.append(len(self.ids))
         return len(self.begin) - 2
@@ -115,14 +114,22 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         s = word.decode()
         m = _PLAIN.fullmatch(s) if self.direct else None
-        if m:
-            letters, signs = m.groups()
-            letters = letters.lower()
-            found = self.pieces.get(letters) or self.piece(letters)
-            if signs:
-                found = found + (self.pieces.get(signs) or self.piece(signs))
-        else:
+        if m is None:
             found = self.tokenizer.encode(s, add_special_tokens=False).ids
+        else:
+            letters, signs = m.groups()
+            low = letters.lower()
+            if low == s:
+                found = self.piece(s)
+            else:
+                number = self[low.encode()]
+                if not signs:
+                    self[word] = number
+                    return number
+                ending = self.signs.get(signs)
+                if ending is None:
+                    ending = self.signs[signs] = self.piece(signs)
+                found = self.ids[self.begin[number] : self.begin[number + 1]] + ending
         self[word] = number = self.add(found)
         return number
 
@@ -131,25 +138,30 @@ class Words(dict):
 
         A text with a special string is encoded as a whole and counts as one word.
         """
-        out, number = [], self.__getitem__
+        flat, ends = [], []
         for t in texts:
             t = t or ""
             if self.special and self.sign in t and any(x in t.lower() for x in self.special):
-                out.append(np.array([self.add(self.tokenizer.encode(t, add_special_tokens=False).ids), 0]))
-                continue
-            found = t.encode("utf-8", "replace").split()
-            found.append(_END)
-            out.append(np.fromiter(map(number, found), np.int64, len(found)))
-        return out
-
-    def sizes(self) -> np.ndarray:
-        return np.diff(np.array(self.begin, np.int64))
+                # under a key that no word has, so that it is looked up like one
+                key = b" " + t.encode()
+                if key not in self:
+                    self[key] = self.add(self.tokenizer.encode(t, add_special_tokens=False).ids)
+                flat.append(key)
+            else:
+                flat += t.encode("utf-8", "replace").split()
+            flat.append(_END)
+            ends.append(len(flat))
+        return np.split(np.fromiter(map(self.__getitem__, flat), np.int64, len(flat)), ends[:-1])
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        """How many ids words have."""
+        begin = np.frombuffer(self.begin, np.int64)
+        return begin[numbers + 1] - begin[numbers]
 
     def ids_of(self, numbers: np.ndarray) -> np.ndarray:
         """Ids of words, one after the other."""
-        begin = np.array(self.begin, np.int64)
-        first, size = begin[numbers], begin[numbers + 1] - begin[numbers]
-        return np.array(self.ids, np.uint32)[_runs(first, size)]
+        first = np.frombuffer(self.begin, np.int64)[numbers]
+        return np.frombuffer(self.ids, np.uint32)[_runs(first, self.sizes(numbers))]
 
 
 def _runs(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -345,7 +357,7 @@ def pack(doc_ids: list[int | None], docs: list[np.ndarray], known: Words | None
     if known is None:
         ids, sizes = distinct, np.ones(len(distinct), np.int64)
     else:
-        ids, sizes = known.ids_of(distinct).astype(np.int64), known.sizes()[distinct]
+        ids, sizes = known.ids_of(distinct).astype(np.int64), known.sizes(distinct)
     order = number[order]
     g = compress(order, counts, ids, sizes)
     lengths = np.add.reduceat(sizes[order], np.cumsum(counts) - counts)
@@ -414,9 +426,8 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
                 encoded = encoder.encode(some.column(1).to_pylist())
-                sizes = encoder.sizes()
                 for doc_id, numbers in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    n = int(sizes[numbers].sum())
+                    n = int(encoder.sizes(numbers).sum())
                     if held and size + n > shard_ids:
                         yield full()
                         ids, held, size, shard = [], [], 0, shard + 1
