@@ -86,3 +86,11 @@ def keep_memory(size: int = 64 << 20) -> None:
         return
     mallopt(-1, size)  # M_TRIM_THRESHOLD
     mallopt(-3, size)  # M_MMAP_THRESHOLD
+
+
+def release_memory() -> None:
+    """Gives freed memory back after a task, so that idle workers don't hold it; without ``malloc_trim`` nothing happens."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return

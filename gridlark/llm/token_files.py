@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_memory, written
+from .common import keep_memory, release_memory, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -47,7 +47,7 @@ LEAST_USES = 4
 #: Bits of the table that counts pairs by a hash; pairs that share a slot are told apart in a later round.
 PAIR_BITS, EXACT_PAIRS = 20, 1 << 16
 #: Words whose ids are remembered per process; at this number the memory starts anew with the next shard.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 
 MAGIC = b"RPR1"
 SHARD_SCHEMA = "part int, shard int, docs long, ids long, payload binary"
@@ -440,6 +440,8 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
                     encoder.start_anew()
         if held:
             yield full()
+        ids, held = [], []
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     tie = F.xxhash64("text")
