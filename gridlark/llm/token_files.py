@@ -403,12 +403,13 @@ class Shard:
         return symbol
 
 
-def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int = SHARD_IDS, remembered: int = CACHED_WORDS) -> DataFrame:
     """(part, shard, docs, ids, payload): the shards of all documents, in ascending order of id by part and shard.
 
     They are written in the shared folder and read from there. Null texts count as empty (the end id alone); null
     ids come first; rows that repeat an id follow each other, in order of a hash of the text. Only doc_id and text are
-    read, whatever other columns are called. An empty table gives no shards.
+    read, whatever other columns are called. An empty table gives no shards. ``remembered`` words are held by a process,
+    about 200 bytes each; fewer take less memory and more time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +435,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
                     ids.append(doc_id)
                     held.append(numbers)
                     size += n
-                if len(encoder.begin) > CACHED_WORDS:
+                if len(encoder.begin) > remembered:
                     yield full()
                     ids, held, size, shard = [], [], 0, shard + 1
                     encoder.start_anew()
