@@ -26,10 +26,12 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ LEAST_USES = 4
 PAIR_BITS, EXACT_PAIRS = 20, 1 << 16
 #: Words whose ids are remembered per process; at this number the memory starts anew with the next shard.
 CACHED_WORDS = 800_000
+#: Texts that are encoded together, in bytes; each of their distinct words is looked up once.
+ENCODED_BYTES = 1 << 22
 
 MAGIC = b"RPR1"
 SHARD_SCHEMA = "part int, shard int, docs long, ids long, payload binary"
@@ -68,18 +72,18 @@ def tokenizer(path: str | None = None):
 #: Steps of the vocabulary's file for which plain words may go straight to its merges (fixed values).
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Latin letters that normalise to their lower case only, then signs without the apostrophe.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: In a line, Latin letters that normalise to their lower case only, then signs without the apostrophe; nothing of any other line.
+_PLAIN = re.compile(r"^(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]++)([!-&(-/:-@\[-`{-~]*+)$|.*$)", re.MULTILINE)
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 
 
 class Words(dict):
-    """Numbers of the words met so far, whose ids lie one after the other; a new word is encoded when it is asked for.
+    """Numbers of the words met so far, whose ids lie one after the other; new words are encoded when a text has them.
 
     Letters and the signs that end a word are different pieces for the pre-tokenizer, so that a word with signs is put
-    together from the word without and the signs. Plain words go straight to the vocabulary's merges, all others through the whole tokenizer. Number 0 is the end.
+    together from the word without and the signs. New words are taken apart and put together many at a time. Plain words go straight to the vocabulary's merges, all others through the whole tokenizer. Number 0 is the end.
     """
 
     def __init__(self, path: str | None = None) -> None:
@@ -98,60 +102,88 @@ class Words(dict):
 
     def start_anew(self) -> None:
         self.clear()
-        self[_END] = 0
-        self.signs: dict[str, array] = {}
+        # white space at either end of a text leaves an empty word, which has no number
+        self[_END], self[b""] = 0, -2
+        self.signs: dict[str, int] = {"": -1}
         self.ids, self.begin = array("I", [END_ID]), array("q", [0, 1])
 
-    def piece(self, s: str) -> array:
-        chars = s if s.isascii() else "".join([_BYTE_CHARS[b] for b in s.encode()])
-        return array("I", [t.id for t in self.merges.tokenize(chars)])
+    def pieces(self, found: list[str]) -> range:
+        chars = [s if s.isascii() else "".join([_BYTE_CHARS[b] for b in s.encode()]) for s in found]
+        made = list(map(self.merges.tokenize, chars))
+        return self.add([t.id for x in made for t in x], made)
 
-    def add(self, ids: array | list[int]) -> int:
+    def whole(self, texts: list[str]) -> range:
+        found = [self.tokenizer.encode(s, add_special_tokens=False).ids for s in texts]
+        return self.add(list(chain.from_iterable(found)), found)
+
+    def add(self, ids: list[int], lists: list[list]) -> range:
+        """Numbers for lists with these ids."""
         self.ids.extend(ids)
-        self.begin.append(len(self.ids))
-        return len(self.begin) - 2
-
-    def __missing__(self, word: bytes) -> int:
-        s = word.decode()
-        m = _PLAIN.fullmatch(s) if self.direct else None
-        if m is None:
-            found = self.tokenizer.encode(s, add_special_tokens=False).ids
-        else:
-            letters, signs = m.groups()
-            low = letters.lower()
-            if low == s:
-                found = self.piece(s)
-            else:
-                number = self[low.encode()]
-                if not signs:
-                    self[word] = number
-                    return number
-                ending = self.signs.get(signs)
-                if ending is None:
-                    ending = self.signs[signs] = self.piece(signs)
-                found = self.ids[self.begin[number] : self.begin[number + 1]] + ending
-        self[word] = number = self.add(found)
-        return number
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return self.number(np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def number(self, sizes: np.ndarray) -> range:
+        first = len(self.begin) - 1
+        self.begin.frombytes((self.begin[-1] + np.cumsum(sizes)).tobytes())
+        return range(first, first + len(sizes))
+
+    def learn(self, new: list[bytes]) -> np.ndarray:
+        """Numbers for words that have none, all at once."""
+        letters, signs = zip(*(_PLAIN.findall(b"\n".join(new).decode()) if self.direct else [("", "")] * len(new)), strict=True)
+        low = "\n".join(letters).lower()
+        keys = low.encode().split(b"\n")
+        numbers = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(numbers == -1).tolist()
+        if missing:
+            lines = low.split("\n")
+            fresh = {keys[k]: lines[k] for k in missing}
+            self.update(zip(fresh, self.pieces(list(fresh.values())), strict=True))
+            numbers[missing] = [self[keys[k]] for k in missing]
+        others = np.flatnonzero(numbers < 0).tolist()
+        numbers[others] = self.whole([new[k].decode() for k in others])
+        distinct = [x for x in dict.fromkeys(signs) if x not in self.signs]
+        self.signs.update(zip(distinct, self.pieces(distinct), strict=True))
+        ending = np.fromiter(map(self.signs.__getitem__, signs), np.int64, len(signs))
+        both = np.flatnonzero(ending >= 0)
+        pairs = np.stack([numbers[both], ending[both]], 1).ravel()
+        ids, sizes = self.ids_of(pairs).tobytes(), self.sizes(pairs).reshape(-1, 2).sum(1)
+        self.ids.frombytes(ids)
+        numbers[both] = self.number(sizes)
+        self.update(zip(new, numbers.tolist(), strict=True))
+        return numbers
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Numbers of the words of whole texts and the end. No token spans two words, as the pre-tokenizer drops white space.
 
         A text with a special string is encoded as a whole and counts as one word.
         """
-        flat, ends = [], []
-        for t in texts:
-            t = t or ""
-            if self.special and self.sign in t and any(x in t.lower() for x in self.special):
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([(t or "").encode("utf-8", "replace").decode() for t in texts], pa.string())
+        if not len(texts):
+            return []
+        texts = pc.fill_null(texts, "")
+        marked = np.flatnonzero(pc.match_substring(texts, self.sign)) if self.special else np.zeros(0, np.int64)
+        held = {k: t for k in marked.tolist() if any(x in (t := texts[k].as_py()).lower() for x in self.special)}
+        if held:
+            texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), list(held))), "", texts)
+        # each distinct word is looked up once
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        distinct = _parts(found.dictionary)
+        number = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number == -1)
+        if len(new):
+            number[new] = self.learn([distinct[k] for k in new.tolist()])
+        numbers = number[found.indices.to_numpy()]
+        docs = []
+        for k, x in enumerate(np.split(numbers, split.offsets.to_numpy()[1:-1])):
+            if k in held:
                 # under a key that no word has, so that it is looked up like one
-                key = b" " + t.encode()
+                key = b" " + held[k].encode()
                 if key not in self:
-                    self[key] = self.add(self.tokenizer.encode(t, add_special_tokens=False).ids)
-                flat.append(key)
-            else:
-                flat += t.encode("utf-8", "replace").split()
-            flat.append(_END)
-            ends.append(len(flat))
-        return np.split(np.fromiter(map(self.__getitem__, flat), np.int64, len(flat)), ends[:-1])
+                    self[key] = self.whole([held[k]])[0]
+                x = np.array([self[key]], np.int64)
+            docs.append(np.append(x[x >= 0], 0))
+        return docs
 
     def sizes(self, numbers: np.ndarray) -> np.ndarray:
         """How many ids words have."""
@@ -164,6 +196,12 @@ class Words(dict):
         return np.frombuffer(self.ids, np.uint32)[_runs(first, self.sizes(numbers))]
 
 
+def _parts(words: pa.Array) -> list[bytes]:
+    """The bytes of words, none of which has white space; quicker than ``to_pylist``."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+    return pc.binary_join(whole, b"\n")[0].as_py().split(b"\n") if len(words) else []
+
+
 def _runs(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... for lengths[0] numbers, then from first[1], and so on."""
     upto = np.cumsum(lengths)
@@ -424,9 +462,10 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["part", "shard", "docs", "ids", "payload"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                encoded = encoder.encode(some.column(1).to_pylist())
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64)
+            for k in np.split(np.arange(batch.num_rows), 1 + np.flatnonzero(np.diff(upto // ENCODED_BYTES))):
+                some = batch.slice(k[0] if len(k) else 0, len(k))
+                encoded = encoder.encode(some.column(1))
                 for doc_id, numbers in zip(some.column(0).to_pylist(), encoded, strict=True):
                     n = int(encoder.sizes(numbers).sum())
                     if held and size + n > shard_ids:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +38,15 @@ def test_words_encode_like_whole_texts():
         assert known.ids_of(numbers).tolist() == ids_of(t), t
 
 
+def test_columns_of_texts_encode_like_lists():
+    """Arrow columns, also parts of one; new words come many at a time, and later texts use those met before."""
+    texts = [" Cat cat CAT cat! CAT?! dog\t\n", None, "", "   ", "É é É!! ''s it's x1 1x", *SPECIAL, "cat! dog?! \x0b\x0cend\r", "K \u212b \u0130stanbul stra\u00dfe!", "CAT cat! newer dog?!"]
+    known = token_files.Words()
+    for column in (pa.array(texts).slice(2, 4), pa.array(texts), pa.array(texts).slice(5), pa.array([], pa.string())):
+        found = known.encode(column)
+        assert [known.ids_of(x).tolist() for x in found] == [ids_of(t) for t in column.to_pylist()]
+
+
 def test_shards_of_texts_with_special_strings(spark):
     texts = SPECIAL + ["plain words", None, *SPECIAL]
     found = token_files.read_documents(token_files.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
