@@ -23,7 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, similarity 0.8), that with the smallest id."""
+    """One document of each component of near copies (five-word shingles, similarity 0.8), that with the smallest id.
+
+    SimHash fingerprints and MinHash bands give the candidates, which their exact similarity decides.
+    """
     return near_copies.one_of_each(docs)
 
 

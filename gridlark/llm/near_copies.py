@@ -1,10 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: at similarity s a pair shares one of the
-keys with probability 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8 and more above.
-Every candidate is then decided by its exact similarity. SimHash fingerprints
-of 64 bits can't supply the candidates: at similarity 0.8 they differ in about
-10 bits, and covering masks for such a radius are too many to be looked up.
+Candidates come from SimHash fingerprints: the covering masks of ``simhash``
+give two that differ in RADIUS bits or fewer a key in common, without
+exception. At similarity 0.8 fingerprints of 64 bits differ in about 10 bits,
+and masks for such a radius are too many to be looked up, so that MinHash bands
+give more keys: at similarity s a pair shares one of them with probability
+1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8 and more above. Every candidate is then
+decided by its exact similarity.
 
 Texts with equal sets are one node. The members of a bucket are ordered by
 SimHash fingerprint; each is compared with the first and with those next to it,
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import release_memory, small, written
 from .components import components
-from .simhash import _LOWER, SEED
+from .simhash import _LOWER, SEED, covering_masks
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 20, 5
+#: Fingerprints that differ in so many bits or fewer always have a key in common.
+RADIUS = 4
 NEIGHBOURS = 6
 #: A list of nodes with a common rare shingle is dealt to tasks in parts of about this size.
 LISTED = 256
@@ -67,8 +71,18 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
+_MASKS = [m % (1 << 64) for m in covering_masks(RADIUS)]
+
+
+def fingerprint_keys(fp: int) -> list[int]:
+    """A key for each covering mask, of the bits that it keeps."""
+    import xxhash
+
+    return [xxhash.xxh64_intdigest(bytes([BANDS + i]) + (fp & m).to_bytes(8, "big"), SEED) for i, m in enumerate(_MASKS)]
+
+
 def sketch(found: np.ndarray) -> tuple[int, list[int]]:
-    """Fingerprint and band keys of a set of shingles; without shingles no keys."""
+    """Fingerprint, and its keys and the band keys, of a set of shingles; without shingles no keys."""
     import xxhash
 
     if not len(found):
@@ -79,7 +93,7 @@ def sketch(found: np.ndarray) -> tuple[int, list[int]]:
         least = np.minimum(least, ((part[:, None] ^ _FLIPS) * _FACTORS).min(0))
         ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     fp = int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big")
-    return fp, [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes(), SEED) for b in range(BANDS)]
+    return fp, fingerprint_keys(fp) + [xxhash.xxh64_intdigest(bytes([b]) + least[b * ROWS : (b + 1) * ROWS].tobytes(), SEED) for b in range(BANDS)]
 
 
 def _longs(values: list[int]) -> pa.Array:

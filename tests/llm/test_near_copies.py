@@ -43,6 +43,23 @@ def test_the_stage_finds_what_all_pairs_find(spark):
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == plain_kept(rows)
 
 
+def test_close_fingerprints_are_candidates(spark):
+    """Whatever bits differ, up to the radius, and without any MinHash band."""
+    rng = random.Random(10)
+    for _ in range(300):
+        fp = rng.getrandbits(64)
+        other = fp ^ sum(1 << i for i in rng.sample(range(64), near_copies.RADIUS))
+        assert set(near_copies.fingerprint_keys(fp)) & set(near_copies.fingerprint_keys(other))
+    base = prose(rng, 400)
+    rows = [(0, base), (1, f"{base} one"), (2, f"two {base}"), (3, prose(rng, 400))]
+    known = near_copies.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    only = known.selectExpr("node", "fp", f"slice(keys, 1, {2 ** (near_copies.RADIUS + 1) - 1}) AS keys").cache()
+    of = {r.doc_id: (r.node, r.fp) for r in known.collect()}
+    close = {(min(of[i][0], of[j][0]), max(of[i][0], of[j][0])) for i in of for j in range(i) if (of[i][1] ^ of[j][1]).bit_count() <= near_copies.RADIUS}
+    assert close and close <= {tuple(r) for r in near_copies.candidates(only).collect()}
+    only.unpersist()
+
+
 def test_a_large_group(spark):
     """More copies than are compared with each other in a bucket."""
     rng = random.Random(5)
