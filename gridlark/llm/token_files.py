@@ -52,6 +52,8 @@ PAIR_BITS, EXACT_PAIRS = 20, 1 << 16
 CACHED_WORDS = 800_000
 #: Texts that are encoded together, in bytes; each of their distinct words is looked up once.
 ENCODED_BYTES = 1 << 22
+#: New words that are encoded at a time.
+LEARNED_WORDS = 1 << 14
 
 MAGIC = b"RPR1"
 SHARD_SCHEMA = "part int, shard int, docs long, ids long, payload binary"
@@ -90,11 +92,12 @@ class Words(dict):
         super().__init__()
         self.tokenizer = tokenizer(path)
         self.merges = self.tokenizer.model
-        steps = json.loads(self.tokenizer.to_str())
-        split = steps["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") if steps["pre_tokenizer"]["type"] == "Sequence" else None
-        self.direct = steps["normalizer"] == _NORMALIZER and split == _SPLIT
+        # the steps by themselves; with the vocabulary they would take tens of megabytes
+        normal, before = (json.loads(x.__getstate__()) if x is not None else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        split = before["pretokenizers"][0].get("pattern", {}).get("Regex") if before.get("type") == "Sequence" else None
+        self.direct = normal == _NORMALIZER and split == _SPLIT
         #: Strings that the tokenizer takes out of a text before anything else, white space around them or not.
-        self.special = [x["content"].lower() for x in steps["added_tokens"]]
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         firsts = {x[0] for x in self.special}
         #: A sign that a text with any of them has.
         self.sign = firsts.pop() if len(firsts) == 1 and not next(iter(firsts)).isalpha() else ""
@@ -171,8 +174,9 @@ class Words(dict):
         distinct = _parts(found.dictionary)
         number = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(number == -1)
-        if len(new):
-            number[new] = self.learn([distinct[k] for k in new.tolist()])
+        for k in range(0, len(new), LEARNED_WORDS):
+            some = new[k : k + LEARNED_WORDS]
+            number[some] = self.learn([distinct[i] for i in some.tolist()])
         numbers = number[found.indices.to_numpy()]
         docs = []
         for k, x in enumerate(np.split(numbers, split.offsets.to_numpy()[1:-1])):
@@ -452,6 +456,8 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
+        # unlike Arrow's own, the system's pool hands freed memory on to words and arrays
+        pa.set_memory_pool(pa.system_memory_pool())
         encoder, part = words(vocabulary), TaskContext.get().partitionId()
         ids: list[int | None] = []
         held: list[np.ndarray] = []

@@ -47,6 +47,15 @@ def test_columns_of_texts_encode_like_lists():
         assert [known.ids_of(x).tolist() for x in found] == [ids_of(t) for t in column.to_pylist()]
 
 
+def test_many_new_words_are_learned_in_parts(monkeypatch):
+    asked, learn = [], token_files.Words.learn
+    monkeypatch.setattr(token_files.Words, "learn", lambda self, new: asked.append(len(new)) or learn(self, new))
+    monkeypatch.setattr(token_files, "LEARNED_WORDS", 7)
+    known, text = token_files.Words(), prose(random.Random(4), 60)
+    assert known.direct and known.ids_of(known.encode([text])[0]).tolist() == ids_of(text)
+    assert max(asked) == 7 and sum(asked) == len(set(text.split()))
+
+
 def test_shards_of_texts_with_special_strings(spark):
     texts = SPECIAL + ["plain words", None, *SPECIAL]
     found = token_files.read_documents(token_files.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
