@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the documents' token ids as compressed shards, and returns what these hold for each document."""
-    return token_files.read_documents(token_files.write_shards(docs, remembered=REMEMBERED_WORDS))
+    return token_files.read_documents(token_files.write_shards(docs, remembered=REMEMBERED_WORDS, lean=True))
 
 
 STAGES: list[tuple[str, Stage]] = [

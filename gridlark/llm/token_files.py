@@ -52,6 +52,8 @@ PAIR_BITS, EXACT_PAIRS = 20, 1 << 16
 CACHED_WORDS = 800_000
 #: Texts that are encoded together, in bytes; each of their distinct words is looked up once.
 ENCODED_BYTES = 1 << 22
+#: Freed memory that a process keeps for its next arrays, and that a lean one keeps.
+KEPT_BYTES, LEAN_BYTES = 64 << 20, 1 << 18
 #: New words that are encoded at a time.
 LEARNED_WORDS = 1 << 14
 
@@ -445,17 +447,18 @@ class Shard:
         return symbol
 
 
-def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int = SHARD_IDS, remembered: int = CACHED_WORDS) -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int = SHARD_IDS, remembered: int = CACHED_WORDS, lean: bool = False) -> DataFrame:
     """(part, shard, docs, ids, payload): the shards of all documents, in ascending order of id by part and shard.
 
     They are written in the shared folder and read from there. Null texts count as empty (the end id alone); null
     ids come first; rows that repeat an id follow each other, in order of a hash of the text. Only doc_id and text are
     read, whatever other columns are called. An empty table gives no shards. ``remembered`` words are held by a process,
-    about 200 bytes each; fewer take less memory and more time.
+    about 200 bytes each; fewer take less memory and more time. A ``lean`` process gives freed memory back at once,
+    which takes more time too; neither has an influence on the documents' ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_memory()
+        keep_memory(LEAN_BYTES if lean else KEPT_BYTES)
         # unlike Arrow's own, the system's pool hands freed memory on to words and arrays
         pa.set_memory_pool(pa.system_memory_pool())
         encoder, part = words(vocabulary), TaskContext.get().partitionId()
@@ -465,6 +468,8 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
 
         def full() -> pa.RecordBatch:
             payload = pack(ids, held, encoder)
+            if lean:
+                release_memory()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["part", "shard", "docs", "ids", "payload"])
 
         for batch in batches:

@@ -91,6 +91,11 @@ def test_grammar_round_trips_and_random_access():
     assert len(packed.left) and len(packed.sequence) < len(many) / 3
 
 
+def test_lean_shards_hold_the_same(odd):
+    found = [rows_of(token_files.read_documents(token_files.write_shards(odd, shard_ids=5000, remembered=50, lean=x))) for x in (False, True)]
+    assert found[0] == found[1] and len(found[0]) == odd.count()
+
+
 def test_files_hold_every_document(odd, odd_wide, none):
     for df in (odd, odd_wide):
         found = [tuple(r) for r in token_files.read_documents(token_files.write_shards(df, shard_ids=5000)).collect()]
