@@ -16,8 +16,12 @@ bucket whose nodes are all in one component needs no more comparisons. The
 nodes of the others are joined exactly, without regard to buckets: ordered from
 the rarest shingle, similar sets have one in common within their first fifth
 (Bayardo et al., "Scaling Up All Pairs Similarity Search"), and its places bound
-how many more they can share (Xiao et al., "PPJoin"). Only pairs of different
-components that pass these bounds are looked at.
+how many more they can share (Xiao et al., "PPJoin"). A bitmap of each set, a
+bit for the parity of the values that fall on it, bounds that from the other
+side: every bit that differs is a value that only one of two sets has (Sandes
+et al., "Bitmap filter"). Only pairs of different components that pass these
+bounds become rows, whose number follows that of the links, not the square of
+a list; the bounds themselves are tested for all pairs of a list.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ BANDS, ROWS = 20, 5
 RADIUS = 4
 NEIGHBOURS = 6
 #: A list of nodes with a common rare shingle is dealt to tasks in parts of about this size.
-LISTED = 256
+LISTED = 1 << 12
+#: Longs of a set's bitmap.
+BITMAP = 16
 CHUNK = 1 << 12
 
 _rng = np.random.Generator(np.random.PCG64(SEED))
@@ -124,17 +130,23 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parities of the values by their lowest bits, as longs. Bitmaps of two sets differ in no more bits than the sets in values."""
+    odd = np.bincount((found % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles) per input row (text)."""
+    """(node, shingles, bits) per input row (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
                 found = shingles(t.as_py())
-                yield pa.RecordBatch.from_arrays([_longs([node_of(found)]), _lists([found])], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([_longs([node_of(found)]), _lists([found]), _lists([bitmap(found)])], names=["node", "shingles", "bits"])
         release_memory()
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, shingles array<long>, bits array<long>")
 
 
 def placed(nodes: DataFrame) -> DataFrame:
@@ -157,7 +169,7 @@ def similar(x: Column, y: Column) -> Column:
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: DataFrame, neighbours: int = NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """The candidates (a, b) that are similar, and the sets (node, shingles) of all candidates.
+    """The candidates (a, b) that are similar, and the sets (node, shingles, bits) of all candidates.
 
     Texts of docs (doc_id, text) are read again only for candidates, one for each node (least).
     """
@@ -178,27 +190,39 @@ def undecided(nodes: DataFrame, rooted: DataFrame, neighbours: int = NEIGHBOURS)
     return members.join(mixed, "key", "left_semi").select("node", "root").distinct()
 
 
-def links_between(open_nodes: DataFrame, read: DataFrame, listed: int = LISTED) -> DataFrame:
-    """(a, b) for all pairs of roots that have similar nodes, of the nodes (node, root) with the sets ``read`` (node, shingles)."""
-    held = read.join(open_nodes, "node").select("node", "root", "shingles")
-    each = held.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+def possible(open_nodes: DataFrame, read: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(node_a, root_a, node_b, root_b), a superset of the similar pairs of different roots, of the nodes (node, root) with the sets ``read``."""
+    held = read.join(open_nodes, "node").select("node", "root", "bits", "shingles")
+    each = held.select("node", "root", "bits", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("low"), F.max("root").alias("high"))
     order = Window.partitionBy("node").orderBy("often", "s")
     # a shingle of a single component still has its place in the order, but joins nothing
     first, _ = written(
         each.join(often, "s").withColumn("at", F.row_number().over(order) - 1)
         .filter((F.col("at") * SIMILARITY[1] <= F.col("n") * (SIMILARITY[1] - SIMILARITY[0])) & (F.col("low") != F.col("high")))
-        .select("s", "node", "root", "n", "at", F.ceil(F.col("often") / listed).cast("int").alias("parts")),
+        .select("s", "node", "root", "bits", "n", "at"),
         "first",
     )
-    x, y = (first.select("s", *[F.col(c).alias(f"{c}_{t}") for c in ("node", "root", "n", "at", "parts")]) for t in ("a", "b"))
+    # parts follow the list that is joined, which the places shorten
+    long = first.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / listed).cast("int").alias("parts")).filter("parts > 1")
+    dealt = first.join(small(long, 16), "s", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    x, y = (dealt.select("s", *[F.col(c).alias(f"{c}_{t}") for c in ("node", "root", "bits", "n", "at", "parts")]) for t in ("a", "b"))
     x = x.withColumn("part", F.pmod(F.xxhash64("node_a"), F.col("parts_a")).cast("int"))
     y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
+    both = F.col("n_a") + F.col("n_b")
     # sets of n and m values have to share 4 of 9 of n + m: at most the fewer before this one, and the shorter rest
     shared = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = shared * sum(SIMILARITY) >= (F.col("n_a") + F.col("n_b")) * SIMILARITY[0]
-    met = x.join(y, ["s", "part"]).filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & enough)
-    met, _ = written(met.select("node_a", "root_a", "node_b", "root_b").distinct(), "met")
+    enough = shared * sum(SIMILARITY) >= both * SIMILARITY[0]
+    # and differ in 1 of 9 of n + m at most
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
+    close = apart * sum(SIMILARITY) <= both * (SIMILARITY[1] - SIMILARITY[0])
+    return x.join(y, ["s", "part"]).filter((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & enough & close).select("node_a", "root_a", "node_b", "root_b").distinct()
+
+
+def links_between(open_nodes: DataFrame, read: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(a, b) for all pairs of roots that have similar nodes, of the nodes (node, root) with the sets ``read`` (node, shingles, bits)."""
+    met, _ = written(possible(open_nodes, read, listed), "met")
+    held = read.join(open_nodes, "node")
     of_a, of_b = (held.select(F.col("node").alias(f"node_{t}"), F.col("shingles").alias(f"of_{t}")) for t in ("a", "b"))
     both = met.join(of_a, "node_a").join(of_b, "node_b").filter(similar(F.col("of_a"), F.col("of_b")))
     return both.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()

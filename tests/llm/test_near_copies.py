@@ -103,6 +103,26 @@ def test_the_exact_join_finds_all_pairs(spark):
     read.unpersist()
 
 
+def test_pairs_that_are_not_close_make_no_rows(spark):
+    """A dense group just below the similarity: pairs share rare shingles, but only those that may be links become rows."""
+    rng = random.Random(11)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, 5) for _ in range(120)]
+    texts += [edited(rng, t, 1) for t in texts[:10]]
+    read = near_copies.sets(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    found = {near_copies.node_of(near_copies.shingles(t)): plain_sets(t) for t in texts}
+    signed = {k - (1 << 64) if k >> 63 else k: v for k, v in found.items()}
+    wanted = {(x, y) for x in signed for y in signed if x < y and 5 * len(signed[x] & signed[y]) >= 4 * len(signed[x] | signed[y])}
+    pairs = {(r.node_a, r.node_b) for r in near_copies.possible(read.selectExpr("node", "node AS root"), read).collect()}
+    assert wanted and wanted <= pairs
+    assert len(pairs) < 3 * len(wanted) + 120
+    for x, y in zip(texts, texts[1:]):
+        a, b = near_copies.shingles(x), near_copies.shingles(y)
+        differ = sum(int(v).bit_count() for v in near_copies.bitmap(a) ^ near_copies.bitmap(b))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+    read.unpersist()
+
+
 def test_rows_without_ids(spark, none):
     rng = random.Random(6)
     a, b = prose(rng, 80), prose(rng, 80)
