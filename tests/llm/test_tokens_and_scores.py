@@ -264,6 +264,20 @@ def test_frequent_contexts_keep_their_line():
     assert line.tolist() == [1, 1] and t.owner[1] == check[0] != check[1]
 
 
+def test_all_contexts_are_counted(spark, monkeypatch):
+    """Every context of the training documents has its counts, in whatever ranges: scores are those of dictionaries."""
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(60)] + [None, "été à la plage"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [lm_scoring.line(lm_scoring.tokens(t)) for t in texts]
+    learns = [x for i, x in enumerate(lines) if zlib.crc32(str(i).encode()) % 5 != 1]
+    wanted = plain_scores(learns, lines, lm_scoring.Code.of(learns))
+    for span in (1 << 23, 1000):
+        monkeypatch.setattr(lm_scoring, "RANGE_BYTES", span)
+        found = {r.doc_id: r.score for r in lm_scoring.score_documents(docs).collect()}
+        assert [found[i] for i in range(len(texts))] == pytest.approx(wanted, rel=1e-4)
+
+
 def test_long_texts_are_scored_in_pieces(model, monkeypatch):
     rng = random.Random(9)
     words = lm_scoring.tokens(prose(rng, 500))
