@@ -25,6 +25,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import nullcontext
 from functools import cache
 from itertools import chain, repeat
 from typing import NamedTuple
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_memory, release_memory, written
+from .common import arrow_batches, keep_memory, release_memory, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -258,13 +259,15 @@ class _Rules:
 
 
 def _classes(keys: np.ndarray, weight: np.ndarray | None, salt: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs that occur often, their class, per class the pair and its uses, and places of pairs that have to wait.
+    """Places of pairs that occur often, their class, per such class the pair and its uses, and places of pairs that have to wait.
 
     A hash of the pairs finds those that can be frequent. If these are few, or on demand, they are counted exactly;
     otherwise of the pairs that share a slot of the hash one is counted and the others have to wait.
     """
     bits = max(10, min(PAIR_BITS, len(keys).bit_length()))
-    slot = ((keys.astype(np.uint64) * np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.intp)
+    slot = keys.view(np.uint64) * np.uint64(salt)
+    slot >>= np.uint64(64 - bits)
+    slot = slot.view(np.intp)
     can = np.flatnonzero((np.bincount(slot, weight, 1 << bits) >= LEAST_USES).take(slot))
     slot, keys = slot.take(can), keys.take(can)
     weight = None if weight is None else weight.take(can)
@@ -277,8 +280,17 @@ def _classes(keys: np.ndarray, weight: np.ndarray | None, salt: int, exact: bool
         mine = pairs.take(slot) == keys
         uses = np.bincount(slot, mine if weight is None else mine * weight, 1 << bits)
         can, of, waiting = can[mine], of[mine], can[~mine]
-    often = (uses >= LEAST_USES).take(of)
-    return can[often], of[often], pairs, uses, waiting
+    # only the classes that count are handed on, in their order; slots are many more
+    often = uses >= LEAST_USES
+    number, mine = np.cumsum(often, dtype=np.int32), often.take(of)
+    return can[mine], number.take(of[mine]) - 1, pairs[often], uses[often], waiting
+
+
+def _keys(seq: np.ndarray, at: np.ndarray, follow: np.ndarray, following: int) -> np.ndarray:
+    keys = seq.take(at).astype(np.int64)
+    keys *= following
+    keys += seq.take(follow)
+    return keys
 
 
 def _settled(at: np.ndarray, follow: np.ndarray, of: np.ndarray, uses: np.ndarray) -> np.ndarray:
@@ -306,8 +318,10 @@ def _replace(seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rules
     where that finds nothing, at all pairs, and if these have none to replace it ends.
     """
     n = len(seq)
-    ends = np.append(ends, True)
-    after, before, alive, look = np.arange(1, n + 2), np.arange(-1, n), np.ones(n, bool), np.zeros(n, bool)
+    # places and symbols mostly fit 32 bits, products of symbols don't
+    kind = np.int32 if rules.following + n < 1 << 31 else np.int64
+    seq, ends = seq.astype(kind), np.append(ends, True)
+    after, before, alive, look = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind), np.ones(n, bool), np.zeros(n, bool)
     at, turn, exact = None, 0, False
     while True:
         whole = at is None
@@ -316,8 +330,8 @@ def _replace(seq: np.ndarray, ends: np.ndarray, weight: np.ndarray | None, rules
         follow = after.take(at)
         free = ~(ends.take(at) | ends.take(follow))
         at, follow = at[free], follow[free]
-        keys = seq.take(at) * rules.following + seq.take(follow)
-        found, of, pairs, uses, waiting = _classes(keys, None if weight is None else weight.take(at), _SALTS[turn % 2], exact)
+        # no names for the arguments, so that they are freed on the way
+        found, of, pairs, uses, waiting = _classes(_keys(seq, at, follow, rules.following), None if weight is None else weight.take(at), _SALTS[turn % 2], exact)
         look[:] = False
         look[at.take(waiting)] = True
         at, follow, turn = at.take(found), follow.take(found), turn + 1
@@ -351,18 +365,19 @@ def compress(order: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.n
     """Re-Pair over documents of ``counts`` words each (all positive), given as numbers of words with ``sizes`` ids each."""
     rules = _Rules(int(ids.max()) + 1 if len(ids) else 0)
     # words, each followed by a sign that is in no pair
-    sign = np.cumsum(sizes + 1) - 1
-    seq, ends, weight = np.zeros(len(ids) + len(sizes), np.int64), np.zeros(len(ids) + len(sizes), bool), np.zeros(len(ids) + len(sizes))
-    ends[sign] = True
+    seq, ends, weight = np.zeros(len(ids) + len(sizes), ids.dtype), np.zeros(len(ids) + len(sizes), bool), np.zeros(len(ids) + len(sizes))
+    ends[np.cumsum(sizes + 1) - 1] = True
     seq[~ends] = ids
     weight[~ends] = np.repeat(np.bincount(order, minlength=len(sizes)), sizes)
     seq, ends = _replace(seq, ends, weight, rules)
+    del weight
     sizes = np.diff(np.flatnonzero(ends), prepend=-1) - 1
     short, begin = seq[~ends], np.cumsum(sizes) - sizes
     width = sizes[order]
     seq = short[_runs(begin[order], width)]
     ends = np.zeros(len(seq), bool)
     ends[np.cumsum(width)[np.cumsum(counts) - 1] - 1] = True
+    del begin, short, width
     seq, ends = _replace(seq, ends, None, rules)
     return Grammar(rules.base, np.concatenate(rules.left), np.concatenate(rules.right), rules.lengths(), seq, np.diff(np.flatnonzero(ends), prepend=-1))
 
@@ -401,10 +416,11 @@ def pack(doc_ids: list[int | None], docs: list[np.ndarray], known: Words | None
     if known is None:
         ids, sizes = distinct, np.ones(len(distinct), np.int64)
     else:
-        ids, sizes = known.ids_of(distinct).astype(np.int64), known.sizes(distinct)
+        ids, sizes = known.ids_of(distinct), known.sizes(distinct)
     order = number[order]
-    g = compress(order, counts, ids, sizes)
     lengths = np.add.reduceat(sizes[order], np.cumsum(counts) - counts)
+    del seen, distinct, number
+    g = compress(order, counts, ids, sizes)
     head = struct.pack("<4s5I", MAGIC, len(docs), len(g.left), len(g.sequence), int(lengths.sum()), g.base)
     arrays = [np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), lengths.astype("<u4"), g.symbols.astype("<u4"), g.left.astype("<u4"), g.right.astype("<u4"), g.lengths.astype("<u4"), g.sequence.astype("<u4")]
     return head + b"".join(a.tobytes() for a in arrays)
@@ -413,7 +429,7 @@ def pack(doc_ids: list[int | None], docs: list[np.ndarray], known: Words | None
 class Shard:
     """A shard's bytes, readable as a whole, by document and by position."""
 
-    def __init__(self, payload: bytes) -> None:
+    def __init__(self, payload: bytes | pa.Buffer) -> None:
         magic, docs, rules, symbols, self.ids, self.base = struct.unpack_from("<4s5I", payload)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
@@ -454,7 +470,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
     ids come first; rows that repeat an id follow each other, in order of a hash of the text. Only doc_id and text are
     read, whatever other columns are called. An empty table gives no shards. ``remembered`` words are held by a process,
     about 200 bytes each; fewer take less memory and more time. A ``lean`` process gives freed memory back at once,
-    which takes more time too; neither has an influence on the documents' ids.
+    which takes more time too, and is handed no more text at a time than it encodes; neither has an influence on the documents' ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,7 +513,8 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, shard_ids: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie).select("doc_id", "text")
-    return written(ordered.mapInArrow(run, SHARD_SCHEMA), "token-shards")[0]
+    with arrow_batches(docs.sparkSession, ENCODED_BYTES) if lean else nullcontext():
+        return written(ordered.mapInArrow(run, SHARD_SCHEMA), "token-shards")[0]
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -514,8 +531,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                shard = Shard(payload)
+            for part, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                # the batch's own bytes, not copies of all shards at once
+                shard = Shard(payload.as_buffer())
                 ids, counts = shard.all().astype("<u4"), shard.counts.astype(np.int64)
                 ends = np.cumsum(counts)
                 view = memoryview(ids).cast("B")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridlark.llm import licenses, lm_scoring, quality, token_files
+from gridlark.llm import common, licenses, lm_scoring, quality, token_files
 
 from .conftest import odd_rows, prose, rows_of
 
@@ -91,6 +92,37 @@ def test_grammar_round_trips_and_random_access():
     assert len(packed.left) and len(packed.sequence) < len(many) / 3
 
 
+def test_packing_takes_little_memory_for_each_id():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.zipf(1.3, 400) % 20_000 + 2, 1).astype(np.uint32) for _ in range(1000)]
+    tracemalloc.start()
+    packed = token_files.pack(list(range(len(docs))), docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (token_files.Shard(packed).all() == np.concatenate(docs)).all()
+    # 143 bytes an id with 64-bit places and all slots of the hash, 107 since
+    assert most < 125 * 401_000, most / 401_000
+
+
+def test_lean_shards_are_handed_bounded_batches(spark):
+    """A batch has bytes, not rows, for its limit meanwhile; the session's setting is as before after that."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 700) AS text")
+    name, held = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name, None)
+    with common.arrow_batches(spark, 1 << 20):
+        found = docs.mapInArrow(run, "n long, size long").collect()
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 1.1 * (1 << 20) and spark.conf.get(name, None) == before
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files, "written", lambda df, _: (df, held.append(spark.conf.get(name, None))))
+        token_files.write_shards(docs, lean=True)
+    assert held == [str(token_files.ENCODED_BYTES)] and spark.conf.get(name, None) == before
+
+
 def test_lean_shards_hold_the_same(odd):
     found = [rows_of(token_files.read_documents(token_files.write_shards(odd, shard_ids=5000, remembered=50, lean=x))) for x in (False, True)]
     assert found[0] == found[1] and len(found[0]) == odd.count()
