@@ -310,6 +310,27 @@ def test_all_contexts_are_counted(spark, monkeypatch):
         assert [found[i] for i in range(len(texts))] == pytest.approx(wanted, rel=1e-4)
 
 
+def test_requests_are_small():
+    """What a block asks for comes back as it was, in order of contexts, and packs into less than rows of a hash, a path and a number do."""
+    zstandard = pytest.importorskip("zstandard")
+    rng = random.Random(13)
+    lines = [lm_scoring.line(lm_scoring.tokens(prose(rng, 200))) for _ in range(150)]
+    d = lm_scoring.Decisions(lines, lm_scoring.Code.of(lines))
+    pack, size, plain = zstandard.ZstdCompressor(level=1).compress, 0, 0
+    for context in d.contexts:
+        asked = lm_scoring.Asked(context, d.path, 3)
+        assert (asked.context[1:] >= asked.context[:-1]).all() and (asked.context[asked.of] == context).all() and (asked.path[asked.of] == d.path).all()
+        at = 0
+        for k, end in enumerate(asked.ends.tolist()):
+            mine = asked.context[at:end], asked.path[at:end], np.bincount(asked.of, minlength=len(asked.path))[at:end]
+            assert all((a == b).all() for a, b in zip(lm_scoring.requested(lm_scoring.request(*mine)), mine, strict=True))
+            assert ((mine[0] >> np.uint64(32)) * np.uint64(3) >> np.uint64(32) == k).all()
+            size += len(pack(lm_scoring.request(*mine)))
+            plain += len(pack(mine[0].astype("<u8").tobytes() + mine[1].astype("<u4").tobytes() + mine[2].astype("<u4").tobytes()))
+            at = end
+    assert size < 0.9 * plain
+
+
 def test_long_texts_are_scored_in_pieces(model, monkeypatch):
     rng = random.Random(9)
     words = lm_scoring.tokens(prose(rng, 500))
