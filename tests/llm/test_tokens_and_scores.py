@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import tracemalloc
 import zlib
@@ -331,6 +332,57 @@ def test_requests_are_small():
     assert size < 0.9 * plain
 
 
+def test_waves_and_turns_leave_nothing_out(spark, monkeypatch):
+    """Small blocks, parts, ranges and waves give the scores of dictionaries, and of the files between only those of the words and results stay."""
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(1, 80)) for _ in range(50)] + [None, "été à la plage", prose(rng, 600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = [lm_scoring.line(lm_scoring.tokens(t)) for t in texts]
+    learns = [x for i, x in enumerate(lines) if zlib.crc32(str(i).encode()) % 5 != 1]
+    wanted = plain_scores(learns, lines, lm_scoring.Code.of(learns))
+    for name, value in (("RANGE_BYTES", 700), ("BLOCK_BYTES", 1500), ("WAVES", 3), ("TURNS", 4)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    kept = {}
+    real = lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name, *more: kept.setdefault(real(df, name, *more), name) and list(kept)[-1])
+    found = {r.doc_id: r.score for r in lm_scoring.score_documents(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(wanted, rel=1e-4)
+    left = [name for (_, path), name in kept.items() if os.path.exists(path.removeprefix("file://"))]
+    assert sorted(kept.values()) == ["answers"] * 4 + ["blocks"] + ["scored"] * 4 + ["survey"] and sorted(left) == ["scored"] * 4 + ["survey"]
+
+
+def test_disk_of_a_wave_is_bounded():
+    """What a wave asks for and what all are answered pack into few bytes for each byte of text, and come back as they were."""
+    zstandard = pytest.importorskip("zstandard")
+    rng = random.Random(15)
+    lines = [lm_scoring.line(lm_scoring.tokens(prose(rng, 200))) for _ in range(150)] + [lm_scoring.line("été à la plage où".encode().split())]
+    size, code, bits, ranges = sum(map(len, lines)), lm_scoring.Code.of(lines), lm_scoring.hash_bits(0), 4
+    pack, waves, answers = zstandard.ZstdCompressor(level=1).compress, [], 0
+    for predictors, low, high in lm_scoring.waves_of(ranges):
+        waves.append(0)
+        contexts, path = lm_scoring.bytes_of(lines, code, predictors, bits)
+        plain, _ = lm_scoring.Decisions.contexts_of(lines, code, predictors)
+        for context, whole in zip(contexts, plain, strict=True):
+            # as many contexts as with all bits of the hash
+            assert len(np.unique(context)) == len(np.unique(whole)) and (lm_scoring.tree_within(context, bits) == path >> 8).all()
+            of = lm_scoring.range_of(context, ranges)
+            mine = (of >= low) & (of < high)
+            context, byte = context[mine], path[mine] & 255
+            learns = np.arange(len(context)) % 3 > 0
+            asked = lm_scoring.Asked(context, byte, ranges)
+            found = lm_scoring.learned_times(context, byte, learns)
+            for a, b in zip(found, (asked.context, asked.path, np.bincount(asked.of, learns, len(asked.path))), strict=True):
+                assert (a == b).all()
+            paths = lm_scoring.tree_within(asked.context, bits) * 256 + asked.path
+            seen, odds = lm_scoring.added(asked.context, paths, found[2], code)
+            answer = lm_scoring.told(seen, odds, asked.context, paths, code)
+            for a, b in zip(lm_scoring.heard(answer, asked.context, paths, code), (seen, odds), strict=True):
+                assert (a == b).all()
+            waves[-1] += len(pack(lm_scoring.request(*found)))
+            answers += len(pack(answer))
+    assert max(waves) < 1.5 * size and answers < size
+
+
 def test_long_texts_are_scored_in_pieces(model, monkeypatch):
     rng = random.Random(9)
     words = lm_scoring.tokens(prose(rng, 500))
