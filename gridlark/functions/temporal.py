@@ -54,7 +54,9 @@ def parse(c: Column, compact: bool = True) -> Column:
         for size, f, kind in ((14, "yyyyMMddHHmmss", "datetime"), (8, "yyyyMMdd", "date")):
             at = F.when(t.rlike(f"^[0-9]{{{size}}}$"), F.try_to_timestamp(t, F.lit(f)))
             found.append((F.when(F.year(at).between(*COMPACT_YEARS), at), kind))
-    return F.struct(F.coalesce(*[at for at, _ in found]).alias("at"), F.coalesce(*[F.when(at.isNotNull(), F.lit(kind)) for at, kind in found]).alias("kind"))
+    # all of them begin with a figure
+    able = t.rlike("^[0-9]")
+    return F.struct(F.when(able, F.coalesce(*[at for at, _ in found])).alias("at"), F.when(able, F.coalesce(*[F.when(at.isNotNull(), F.lit(kind)) for at, kind in found])).alias("kind"))
 
 
 def moment(c: Column, kind: T.DataType | None = None) -> Column:

@@ -1,4 +1,4 @@
-"""Order without gathering: running totals and row positions over range partitions, and sort keys."""
+"""Order without gathering: running totals, row positions and medians over range partitions, and sort keys."""
 
 from __future__ import annotations
 
@@ -29,6 +29,31 @@ def positioned(df: DataFrame, by: list[Column], name: str = "_position") -> Data
     return running_total(df, by, F.lit(1).cast("long"), name).withColumn(name, F.col(name) + 1)
 
 
+def medians(counts: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
+    """keys, median: the exact median of the numbers ``x``, each ``n`` times, of every combination of ``keys``.
+
+    Numbers are dealt to range partitions, of which only counts and bounds are ordered; then the numbers within the
+    bounds around each middle are. Bounds are numbers, so the result is right if rows are dealt otherwise another time.
+    ``few`` sends all bounds to every executor; without it, their size decides.
+    """
+    rows = counts.filter("x is not null").select(*keys, "x", "n")
+    dealt = rows.repartitionByRange(*keys, "x").withColumn("_part", F.spark_partition_id())
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"), F.min("x").alias("_low"), F.max("x").alias("_high"))
+    every = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "_n", "_low", "_high", F.sum("_n").over(every.orderBy("_low")).alias("_upto"), F.sum("_n").over(every).alias("_all"))
+    middles = [F.expr("(_all + 1) div 2"), F.expr("(_all + 2) div 2")]
+    holds = [(F.col("_upto") - F.col("_n") < m) & (m <= F.col("_upto")) for m in middles]
+    bounds = sums.filter(holds[0] | holds[1]).groupBy(*keys).agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min(F.col("_upto") - F.col("_n")).alias("_before"), F.max("_all").alias("_all"))
+    bounds = bounds.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    near = rows.join(F.broadcast(bounds) if few else bounds, [*same, F.col("x").between(F.col("_low"), F.col("_high"))])
+    # rows of a number stay apart; whichever of them holds a middle, the number is the same
+    upto = F.col("_before") + F.sum("n").over(every.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_upto", upto)
+    at = [F.max(F.when((F.col("_upto") - F.col("n") < m) & (m <= F.col("_upto")), F.col("x"))) for m in middles]
+    return near.groupBy(*keys).agg((at[0] * 0.5 + at[1] * 0.5).alias("median"))
+
+
 def numeric_flags(df: DataFrame, cells: list[tuple[Column, T.DataType]]) -> list[bool]:
     """Which of the cells are all numbers or empty, in one pass over the rows."""
     open_ones = [k for k, (_, kind) in enumerate(cells) if not isinstance(kind, T.NumericType)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers, temporal, texts
+from . import order
 from .analytics import TOP_VALUES
 
 #: Texts of booleans, after lower-casing (fixed values).
@@ -40,23 +41,23 @@ class Profile:
     top: list[tuple[str, int]] = field(default_factory=list)
 
 
-def _flags(value: Column, kind: T.DataType) -> dict[str, Column]:
-    """Per-cell facts about a trimmed, non-null text; all are aggregated with and/or."""
-    if isinstance(kind, T.NumericType):
-        whole = (value.cast("double") % 1 == 0) if not isinstance(kind, T.IntegralType) else F.lit(True)
-        zero_one = value.cast("double").isin(0.0, 1.0)
-        return {"number": F.lit(True), "whole": whole, "boolean": zero_one if isinstance(kind, T.IntegralType) else F.lit(False)}
-    if isinstance(kind, T.BooleanType):
-        return {"boolean": F.lit(True)}
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return {"temporal": F.lit(True), "dated": F.lit(True), "timed": F.lit(not isinstance(kind, T.DateType))}
-    plain, parsed = numbers.plain(value), temporal.parse(value)
-    money, share = numbers.currency(value, True), numbers.percent(value, True)
-    exponent = value.rlike("[eE]")
+def _facts(value: Column, kinds: list[T.DataType]) -> dict[str, Column]:
+    """Facts about a trimmed, known text of the column ``index``; over a column they are aggregated with and/or.
+
+    Texts are parsed; what the kind of column says alone isn't.
+    """
+
+    def of(*types: type) -> Column:
+        return F.col("index").isin([i for i, k in enumerate(kinds) if isinstance(k, types)])
+
+    number, dated, parsed = of(T.NumericType), of(T.DateType, T.TimestampType, T.TimestampNTZType), F.col("parsed")
+    whole = F.when(of(T.IntegralType), True).when(number, F.col("x") % 1 == 0).when(parsed, (F.col("plain") % 1 == 0) & ~value.contains(".") & ~value.rlike("[eE]"))
     return {
-        "number": plain.isNotNull(), "whole": plain.isNotNull() & (plain % 1 == 0) & ~value.contains(".") & ~exponent, "exponent": plain.isNotNull() & exponent,
-        "boolean": F.lower(value).isin(*BOOLEANS), "temporal": parsed["at"].isNotNull(), "dated": parsed["kind"] != "time", "timed": parsed["kind"] != "date",
-        "currency": money.isNotNull(), "percent": share.isNotNull(), "zeros": value.rlike("^0[0-9]+$"),
+        "number": number | F.col("plain").isNotNull(), "whole": whole,
+        "boolean": F.when(of(T.IntegralType), F.col("x").isin(0.0, 1.0)).otherwise(of(T.BooleanType) | parsed & F.lower(value).isin(*BOOLEANS)),
+        "temporal": dated | F.col("moment").isNotNull(), "currency": F.col("money").isNotNull(), "percent": F.col("share").isNotNull(),
+        "exponent": F.col("plain").isNotNull() & value.rlike("[eE]"),
+        "dated": dated | (F.col("moment") != "time"), "timed": of(T.TimestampType, T.TimestampNTZType) | (F.col("moment") != "date"), "zeros": parsed & value.rlike("^0[0-9]+$"),
     }
 
 
@@ -67,40 +68,53 @@ ANY_OF = ("exponent", "dated", "timed", "zeros")
 def profile_table(df: DataFrame, names: list[str] | None = None, sample: int | None = None) -> DataFrame:
     """index, name, type, nulls, non_nulls, unique, min, max, mean, median, std: one row for each column of ``df``.
 
-    Two passes: one wide aggregate for the facts about each column, and one over value counts for the numbers of
-    distinct values. ``sample`` takes the first rows only, as viewers do; None takes all.
+    Values are counted first, so that each distinct text is parsed once for its column's facts and once for its
+    numbers, and no task holds a column's values. ``sample`` takes the first rows only, as viewers do; None takes all.
     """
     df = df.limit(sample) if sample else df
     fields = df.schema.fields
     names = names or [f.name for f in fields]
-    wide, parts = [], []
+    kinds = [f.dataType for f in fields]
+    none = F.lit(None).cast("double")
+    parts = []
     for i, f in enumerate(fields):
-        value = F.trim(F.col(f"`{f.name}`").cast("string"))
-        known = F.when(~texts.is_null_token(value), value)
-        facts = _flags(known if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`"), f.dataType)
-        x = numbers.number(F.col(f"`{f.name}`"), f.dataType) if isinstance(f.dataType, T.NumericType) else F.coalesce(numbers.plain(known), numbers.currency(known, True), numbers.percent(known, True)) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("double")
-        wide += [F.count(known).alias(f"{i}_known"), F.count(F.lit(1)).alias(f"{i}_rows")]
-        wide += [F.coalesce(F.bool_and(F.when(known.isNotNull(), facts[k])) if k in facts else F.lit(False), F.lit(False)).alias(f"{i}_{k}") for k in ALL_OF]
-        wide += [F.coalesce(F.bool_or(F.when(known.isNotNull(), facts[k])) if k in facts else F.lit(False), F.lit(False)).alias(f"{i}_{k}") for k in ANY_OF]
-        plain = numbers.plain(known) if isinstance(f.dataType, T.StringType) else x
-        for tag, v in (("p", plain), ("a", x)):
-            wide += [F.struct(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std")).alias(f"{i}_{tag}")]
-        parts.append(F.struct(F.lit(i).alias("index"), known.alias("value")))
-    facts = df.agg(*wide)
-    longer = facts.select(F.inline(F.array(*[F.struct(F.lit(i).alias("index"), *[F.col(f"{i}_{k}").alias(k) for k in ("rows", "known", *ALL_OF, *ANY_OF, "p", "a")]) for i in range(len(fields))])))
-    counts = df.select(F.inline(F.array(*parts))).filter("value is not null").groupBy("index", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("index").agg(F.count(F.lit(1)).alias("unique"))
-    named = df.sparkSession.createDataFrame([(i, n, texts.header_suggests_id(n)) for i, n in enumerate(names)], "index int, name string, is_id boolean")
-    rows = longer.join(counts, "index", "left").withColumn("unique", F.coalesce("unique", F.lit(0).cast("long"))).join(F.broadcast(named), "index")
+        cell = F.col(f"`{f.name}`")
+        value = F.trim(cell.cast("string"))
+        x = numbers.number(cell, f.dataType) if isinstance(f.dataType, T.NumericType) else none
+        parts.append(F.struct(F.lit(i).alias("index"), F.when(~texts.is_null_token(value), value).alias("value"), x.alias("x")))
+    counts = df.select(F.inline(F.array(*parts))).groupBy("index", "value").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("x"))
+
+    given = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    value, n = F.col("value"), F.col("n")
+    text, parsed = F.col("index").isin([i for i, k in enumerate(kinds) if isinstance(k, T.StringType)]), F.col("index").isin([i for i, k in enumerate(kinds) if not isinstance(k, given)])
+    # a lambda keeps this out of a generated method too long to be compiled
+    known = F.exists(F.array(value), lambda v: v.isNotNull())
+    cells = counts.select("index", "value", "n", "x", known.alias("known"), parsed.alias("parsed"), F.when(parsed, numbers.plain(value)).alias("plain"), F.when(parsed, temporal.parse(value)["kind"]).alias("moment"), F.when(parsed, numbers.currency(value, True)).alias("money"), F.when(parsed, numbers.percent(value, True)).alias("share"))
+    facts = _facts(value, kinds)
+    cells = cells.select("index", "n", "known", *[F.when(F.col("known"), F.coalesce(facts[k], F.lit(False)) if k in ALL_OF else facts[k]).alias(k) for k in (*ALL_OF, *ANY_OF)])
+    wide = [F.sum("n").alias("rows"), F.sum(F.when(F.col("known"), n)).alias("known"), F.count_if("known").alias("unique")]
+    wide += [F.bool_and(k).alias(k) for k in ALL_OF] + [F.bool_or(k).alias(k) for k in ANY_OF]
+    named = df.sparkSession.createDataFrame([(i, n, texts.header_suggests_id(n)) for i, n in enumerate(names)], "index int, name string, is_id boolean").coalesce(1)
+    # a table without rows has columns as well
+    rows = named.join(F.broadcast(cells.groupBy("index").agg(*wide)), "index", "left")
+    rows = rows.select("index", "name", "is_id", *[F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("rows", "known", "unique")], *[F.coalesce(k, F.lit(False)).alias(k) for k in (*ALL_OF, *ANY_OF)])
     when = F.when(F.col("known") == 0, "empty").when(F.col("boolean"), "boolean")
     when = when.when(F.col("temporal") & F.col("dated") & F.col("timed"), "datetime").when(F.col("temporal") & F.col("timed"), "time").when(F.col("temporal"), "date")
     when = when.when(F.col("percent"), "percent").when(F.col("currency"), "currency").when(F.col("whole") & (F.col("zeros") | F.col("is_id")), "identifier")
     when = when.when(F.col("number") & F.col("exponent"), "scientific").when(F.col("whole"), "integer").when(F.col("number"), "float")
     when = when.when(F.col("unique") <= F.greatest(F.lit(20).cast("long"), F.expr("known div 2")), "categorical").otherwise("string")
     rows = rows.withColumn("type", when)
-    # numbers with a symbol count only where the whole column has it, whatever the order of rows
-    s = F.when(F.col("type").isin("currency", "percent"), F.col("a")).when(F.col("type") != "identifier", F.col("p"))
-    rows = rows.withColumn("s", F.when(s["n"] > 0, s))
-    return rows.select("index", "name", "type", (F.col("rows") - F.col("known")).alias("nulls"), F.col("known").alias("non_nulls"), "unique", *[F.col(f"s.{k}").alias(k) for k in ("min", "max", "mean", "median", "std")]).orderBy("index")
+    # numbers with a symbol count only where the whole column has it, whatever the order of rows; they are never plain ones
+    bare = F.coalesce("x", F.when(text, numbers.plain(value)))
+    found = counts.select("index", "n", bare.alias("bare"), F.when(text & bare.isNull(), F.coalesce(numbers.currency(value, True), numbers.percent(value, True))).alias("other"))
+    found = found.select("index", F.col("other").isNotNull().alias("affixed"), "n", F.coalesce("bare", "other").alias("x")).filter("x is not null")
+    off, total = F.col("x") - F.col("median"), F.sum("n")
+    # the mean is within a standard deviation of the median, so that this difference of squares keeps its digits
+    spread = F.sum(n * off * off) / total - (F.sum(n * F.col("x")) / total - F.max("median")) * (F.sum(n * F.col("x")) / total - F.max("median"))
+    stats = found.join(F.broadcast(order.medians(found, ["index", "affixed"], few=True)), ["index", "affixed"]).groupBy("index", "affixed")
+    stats = stats.agg(F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(n * F.col("x")) / total).alias("mean"), F.max("median").alias("median"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"))
+    rows = rows.withColumn("affixed", F.when(F.col("type") != "identifier", F.col("type").isin("currency", "percent"))).join(F.broadcast(stats), ["index", "affixed"], "left")
+    return rows.select("index", "name", "type", (F.col("rows") - F.col("known")).alias("nulls"), F.col("known").alias("non_nulls"), "unique", "min", "max", "mean", "median", "std").orderBy("index")
 
 
 def top_values_table(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import statistics
+
 import pytest
+from pyspark.sql import functions as F
 
 from gridlark import catalog
+from gridlark.operators import order, profile
 from tests.test_queries import DATA
 
 TABLES = {"currency_display_all": "part", "percent_display_all": "lineitem"}
@@ -15,3 +19,20 @@ def test_every_row_is_shown(spark, name):
     found = catalog.QUERIES[name](spark, DATA)
     rows = spark.read.parquet(f"{DATA}/{TABLES[name]}.parquet").count()
     assert rows and found.count() == found.filter("shown is not null").count() == rows
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_profile_counts_values_before_it_reads_them(spark):
+    rows = [(i * 37 % 101 - 7.5, f"${i % 13}", f"{i % 7}%" if i % 5 else "n/a", str(i % 9) if i % 2 else f"t{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "x double, p string, s string, m string")
+    found = profile.profile_table(df)
+    assert "percentile" not in planned(found)
+    expected = [[r[0] for r in rows], [i % 13 for i in range(1000)], [i % 7 for i in range(1000) if i % 5], [i % 9 for i in range(1000) if i % 2]]
+    for got, numbers in zip(found.collect(), expected, strict=True):
+        assert (got.non_nulls, got.min, got.max, got.median) == (1000 if got.name == "m" else len(numbers), min(numbers), max(numbers), statistics.median(numbers))
+        assert (got["mean"], got["std"]) == (pytest.approx(statistics.fmean(numbers)), pytest.approx(statistics.pstdev(numbers)))
+    none = profile.profile_table(df.limit(0)).collect()
+    assert [(r.type, r.nulls, r.unique, r.median) for r in none] == [("empty", 0, 0, None)] * 4
