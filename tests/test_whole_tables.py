@@ -36,3 +36,15 @@ def test_profile_counts_values_before_it_reads_them(spark):
         assert (got["mean"], got["std"]) == (pytest.approx(statistics.fmean(numbers)), pytest.approx(statistics.pstdev(numbers)))
     none = profile.profile_table(df.limit(0)).collect()
     assert [(r.type, r.nulls, r.unique, r.median) for r in none] == [("empty", 0, 0, None)] * 4
+
+
+def test_profile_of_numbers_far_from_zero(spark):
+    got = profile.profile_table(spark.range(1000).select((F.col("id") + 1e9).alias("x"))).first()
+    assert (got["mean"], got["median"], got["std"]) == (1e9 + 499.5, 1e9 + 499.5, pytest.approx(statistics.pstdev(range(1000)), rel=1e-9))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_medians(spark, few):
+    rows = [(k, float(i * 31 % 997 // (k or 1)), i % 3 + 1) for k in (None, 1, 2, 3) for i in range(600 if k != 3 else 1)]
+    found = order.medians(spark.createDataFrame(rows, "k int, x double, n long").repartition(7), ["k"], few).collect()
+    assert {r.k: r.median for r in found} == {k: statistics.median([x for g, x, n in rows for _ in range(n) if g == k]) for k in (None, 1, 2, 3)}
