@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.texts import stable_keys
 
+_COPIED = 1 << 22
 FORMATS = {".md": "markdown", ".json": "json", ".html": "html", ".htm": "html"}
 
 
@@ -75,30 +80,72 @@ def _plain_row(names: list[str], kind: str) -> str:
     return "".join(f"<th>{n}</th>" for n in escaped)
 
 
+def _put_together(spark: SparkSession, path: str, head: bytes, parts: list[tuple[str, int]], tail: bytes) -> None:
+    """One file of a head, parts of files with the bytes to take of each, and a tail; executors copy the parts to their places."""
+    at, plan = len(head), []
+    for k, (part, size) in enumerate(parts):
+        plan.append((k, part, at, size))
+        at += size
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(at)
+        f.seek(at)
+        f.write(tail)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open(r["part"], "rb") as source, open(path, "r+b") as target:
+                    target.seek(r["at"])
+                    left = r["size"]
+                    while left and (some := source.read(min(left, _COPIED))):
+                        target.write(some)
+                        left -= len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([r["size"] - left], pa.int64())], names=["copied"])
+
+    if plan:
+        copied = spark.createDataFrame(plan, "k int, part string, at long, size long").repartitionById(len(plan), F.col("k")).mapInArrow(copy, "copied long")
+        if copied.agg(F.sum("copied")).first()[0] != at - len(head):
+            raise OSError(f"{path} lacks bytes of its parts")
+
+
 def export(df: DataFrame, path: str, names: list[str] | None = None, columns: list[str] | None = None, kind: str | None = None) -> None:
-    """One file of the DataFrame's rows in their order, streamed partition by partition through the driver.
+    """One file of the DataFrame's rows in their order.
 
-    CSV is UTF-8 with a byte order mark. For results too large for one file, use ``export_parts``.
+    Executors write a part for each partition beside the file and copy the parts to their places in it. Only where they
+    don't share the file's folder with the driver are rows streamed through it, partition by partition. CSV is UTF-8
+    with a byte order mark.
     """
     kind, columns = kind or format_of(path), columns or df.columns
     names = names or columns
     cells = [F.col(f"`{c}`") for c in columns]
     line = {"csv": csv_row, "markdown": markdown_row, "html": html_row}.get(kind, lambda c: json_row(names, c))(cells)
-    rows = (r.line for r in df.select(line.alias("line")).toLocalIterator())
-    with open(path, "w", encoding="utf-8-sig" if kind == "csv" else "utf-8", newline="") as f:
-        if kind == "json":
-            f.write("[")
-            for i, r in enumerate(rows):
-                f.write((",\n  " if i else "\n  ") + r)
-            f.write("\n]\n")
+    end = {"csv": "\r\n", "json": ","}.get(kind, "\n")
+    if kind == "json":
+        head, tail, line = "[", "\n]\n", F.concat(F.lit("\n  "), line)
+    else:
+        shown = _plain_row(names, kind)
+        head, tail = (f"<table>\n<thead><tr>{shown}</tr></thead>\n<tbody>\n", "</tbody>\n</table>\n") if kind == "html" else (shown + end, "")
+    head, tail, lines = head.encode("utf-8-sig" if kind == "csv" else "utf-8"), tail.encode(), df.select(line.alias("line"))
+    path = os.path.abspath(path)
+    folder = f"{path}.{uuid.uuid4().hex}.parts"
+    written = Observation()
+    try:
+        lines.observe(written, F.coalesce(F.sum(F.octet_length("line").cast("long") + len(end)), F.lit(0).cast("long")).alias("bytes")).write.text("file://" + folder, compression="none", lineSep=end)
+        parts = [(f"{folder}/{n}", os.path.getsize(f"{folder}/{n}")) for n in sorted(os.listdir(folder)) if n.startswith("part-")]
+        parts = [(part, size) for part, size in parts if size]
+        if sum(size for _, size in parts) == written.get["bytes"]:
+            if kind == "json" and parts:  # no comma after the last row
+                parts[-1] = (parts[-1][0], parts[-1][1] - len(end))
+            _put_together(df.sparkSession, path, head, parts, tail)
             return
-        end = "\r\n" if kind == "csv" else "\n"
-        head = _plain_row(names, kind)
-        f.write(f'<table>\n<thead><tr>{head}</tr></thead>\n<tbody>\n' if kind == "html" else head + end)
-        for r in rows:
-            f.write(r + end)
-        if kind == "html":
-            f.write("</tbody>\n</table>\n")
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    with open(path, "wb") as f:
+        f.write(head)
+        for i, r in enumerate(lines.toLocalIterator()):
+            f.write(((end if i else "") + r.line if kind == "json" else r.line + end).encode())
+        f.write(tail)
 
 
 def export_parts(df: DataFrame, path: str, names: list[str] | None = None) -> None:

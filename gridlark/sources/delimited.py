@@ -216,6 +216,9 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
     if not ranges:
         return spark.createDataFrame([], schema), names
     sep = source.delimiter.encode()
+    # small ranges that follow each other share a task
+    tasks = min(len(ranges), max(spark.sparkContext.defaultParallelism, -(-source.size // RANGE_BYTES)))
+    task = F.expr(f"cast(k * {tasks}L div {len(ranges)} as int)")
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +231,7 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
 
     outcomes = index_cache.load(cache, source.path, source.delimiter, range_bytes) if cache else None
     if outcomes is None:
-        plan = spark.createDataFrame(ranges, "k int, s long, e long").repartitionById(len(ranges), F.col("k"))
+        plan = spark.createDataFrame(ranges, "k int, s long, e long").repartitionById(tasks, task)
         # a handful of numbers for each range
         outcomes = [(list(x.states), list(x.records)) for x in sorted(plan.mapInArrow(survey, "k int, states array<int>, records array<long>").collect())]
         if cache:
@@ -274,5 +277,5 @@ def read(spark: SparkSession, path: str, encoding: str | None = None, delimiter:
                     for k in range(0, batch_of.num_rows, 10_000):
                         yield batch_of.slice(k, 10_000)
 
-    work = spark.createDataFrame(begins, "k int, s long, e long, state int, row long, first boolean, left int").repartitionById(len(ranges), F.col("k"))
+    work = spark.createDataFrame(begins, "k int, s long, e long, state int, row long, first boolean, left int").repartitionById(tasks, task)
     return work.mapInArrow(parse, schema), names

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import random
 import zipfile
 
@@ -237,3 +238,32 @@ def test_records_parsed_at_once_equal_those_parsed_one_by_one(t):
     finally:
         delimited._FEW = few
     assert found == [[*(r[j] if j < len(r) else "" for j in range(3)), r[3:]] for r in delimited.rows(t, ",")]
+
+
+@pytest.mark.parametrize("kind", ["csv", "markdown", "json", "html"])
+def test_exports_are_put_together_by_executors(spark, tmp_path, monkeypatch, kind):
+    from pyspark.sql import DataFrame
+
+    rows = [(i, f'a "{i}",\r\nb' if i % 3 else "é" * (i % 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(7).orderBy("k")
+    paths = [str(tmp_path / f"{n} %20.{kind}") for n in ("whole", "streamed", "none")]
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows went through the driver"))
+        export.export(df, paths[0], kind=kind)
+        export.export(df.limit(0), paths[2], kind=kind)
+    assert os.listdir(tmp_path) and not [n for n in os.listdir(tmp_path) if n.endswith(".parts")]
+    with monkeypatch.context() as m:  # a folder whose parts the driver doesn't see
+        m.setattr(export.os, "listdir", lambda _: [])
+        export.export(df, paths[1], kind=kind)
+    whole, streamed, none = (open(p, "rb").read() for p in paths)
+    assert whole == streamed and len(whole) > len(none) > 0
+    if kind == "json":
+        assert [tuple(r.values()) for r in json.loads(whole)] == [(str(k), t) for k, t in rows] and json.loads(none) == []
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    path.write_text("a\n" + "".join(f"{i}\n" for i in range(5000)))
+    df, _ = delimited.read(spark, str(path), range_bytes=64)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert [(r._row, r.c0) for r in df.collect()] == [(i + 1, str(i)) for i in range(5000)]
