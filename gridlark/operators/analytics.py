@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers, temporal
+from . import order
 
 FUNCTIONS = ("count", "sum", "mean", "median", "min", "max", "unique", "std")
 FACET_BINS, FACET_VALUES, TOP_VALUES = 6, 6, 10
@@ -30,13 +31,47 @@ def aggregate(fn: str, x: Column, raw: Column) -> Column:
     return found[fn]()
 
 
+def measured(rows: DataFrame, keys: list[str], measures: list[tuple[str, str, str, str]], sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    """keys and measures (name, function, column of numbers, column of raw cells) of groups, or of all grouping ``sets``, with ``_id``.
+
+    Medians and numbers of distinct cells come from values counted once, so that no task holds the values of a group.
+    """
+
+    def grouped(df: DataFrame, *found: Column) -> DataFrame:
+        if sets is None:
+            return df.groupBy(*keys).agg(*found)
+        return df.groupingSets([[F.col(k) for k in s] for s in sets], *map(F.col, keys)).agg(F.grouping_id().alias("_id"), *found)
+
+    def spread(df: DataFrame, *columns: str) -> DataFrame:
+        """The rows once for each of the sets, with nulls for the keys it lacks."""
+        if sets is None:
+            return df
+        of = [F.struct(F.lit(sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)).cast("long").alias("_id"), *[(F.col(k) if k in s else F.lit(None).cast("string")).alias(k) for k in keys], *columns) for s in sets]
+        return df.select(F.inline(F.array(*of)))
+
+    by = keys if sets is None else ["_id", *keys]
+    plain = [m for m in measures if m[1] not in ("median", "unique")]
+    out = grouped(rows, *[aggregate(f, F.col(x), F.col(raw)).alias(name) for name, f, x, raw in plain], F.count(F.lit(1)).alias("_rows"))
+    for i, (name, f, x, raw) in enumerate(m for m in measures if m not in plain):
+        if f == "median":
+            counts = rows.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+            found = order.medians(spread(counts, "x", "n"), by, few=not by).withColumnRenamed("median", f"_found{i}")
+        else:
+            cells = rows.select(*keys, numbers.text(F.col(raw)).alias("_cell")).distinct()
+            found = spread(cells, "_cell").distinct().groupBy(*by).agg(F.count("_cell").alias(f"_found{i}"))
+        found = found.withColumnsRenamed({k: f"_of{i}_{k}" for k in by})
+        same = [F.col(k).eqNullSafe(F.col(f"_of{i}_{k}")) for k in by]
+        out = out.join(found, same or F.lit(True), "left").withColumn(name, F.coalesce(F.col(f"_found{i}").cast("double"), F.lit(0.0)))
+    return out.select(*by, *[m[0] for m in measures])
+
+
 def group_by(df: DataFrame, keys: list[tuple[str, Column]], value: Column | None, kind: T.DataType | None, functions: list[str]) -> DataFrame:
     """A row for each distinct combination of key texts, with the functions of one value column; ordered by keys ignoring case."""
     raw = value if value is not None else F.lit("")
     x = numbers.number(raw, kind)
     names = [n for n, _ in keys]
     rows = df.select(*[numbers.text(c).alias(n) for n, c in keys], raw.alias("_raw"), x.alias("_x"))
-    found = rows.groupBy(*names).agg(*[aggregate(f, F.col("_x"), F.col("_raw")).alias(f) for f in functions])
+    found = measured(rows, names, [(f, f, "_x", "_raw") for f in functions])
     return found.orderBy(*[F.upper(n) for n in names], *names)
 
 

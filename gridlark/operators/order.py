@@ -37,7 +37,9 @@ def medians(counts: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     ``few`` sends all bounds to every executor; without it, their size decides.
     """
     rows = counts.filter("x is not null").select(*keys, "x", "n")
-    dealt = rows.repartitionByRange(*keys, "x").withColumn("_part", F.spark_partition_id())
+    # a given number of ranges isn't lessened for small tables, whose bounds would be all numbers of a key
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(ranges, *keys, "x").withColumn("_part", F.spark_partition_id())
     sums = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_n"), F.min("x").alias("_low"), F.max("x").alias("_high"))
     every = Window.partitionBy(*keys)
     sums = sums.select(*keys, "_n", "_low", "_high", F.sum("_n").over(every.orderBy("_low")).alias("_upto"), F.sum("_n").over(every).alias("_all"))

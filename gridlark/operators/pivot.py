@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers, temporal, texts
-from .analytics import aggregate
+from .analytics import measured
 
 LISTED_VALUES = 500
 LOOKS_TEMPORAL = r"^[0-9]{4}(-[0-9]{2}){0,2}$|^[0-9]{4}-W[0-9]{2}$"
@@ -58,8 +58,8 @@ def _keyed(df: DataFrame, rows: list[Key], columns: list[Key], measures: list[Me
     return df.select(*[k.value().alias(k.name) for k in [*rows, *columns]], *cells)
 
 
-def _aggregates(measures: list[Measure]) -> list[Column]:
-    return [aggregate(m.function, F.col(f"_x{i}"), F.col(f"_raw{i}")).alias(m.name) for i, m in enumerate(measures)]
+def _measured(keyed: DataFrame, names: list[str], measures: list[Measure], sets: list[tuple[str, ...]] | None = None) -> DataFrame:
+    return measured(keyed, names, [(m.name, m.function, f"_x{i}", f"_raw{i}") for i, m in enumerate(measures)], sets)
 
 
 def pivot(df: DataFrame, rows: list[Key], columns: list[Key], measures: list[Measure], filters: list[tuple[Key, str | None]] = (), totals: bool = False) -> DataFrame:
@@ -71,10 +71,10 @@ def pivot(df: DataFrame, rows: list[Key], columns: list[Key], measures: list[Mea
     keyed = _keyed(df, rows, columns, measures, list(filters))
     names, r, c = [k.name for k in [*rows, *columns]], [k.name for k in rows], [k.name for k in columns]
     if not totals:
-        found = keyed.groupBy(*names).agg(*_aggregates(measures))
+        found = _measured(keyed, names, measures)
         return found.orderBy(*names) if names else found
     sets = list(dict.fromkeys([tuple(names), tuple(r), tuple(c), ()]))
-    grouped = keyed.groupingSets([[F.col(n) for n in s] for s in sets], *[F.col(n) for n in names]).agg(F.grouping_id().alias("_id"), *_aggregates(measures))
+    grouped = _measured(keyed, names, measures, sets)
     bit = {n: 1 << (len(names) - 1 - i) for i, n in enumerate(names)}
     gone = {s: sum(bit[n] for n in names if n not in s) for s in sets}
     level = F.when(F.col("_id") == gone[tuple(names)], "cell")
@@ -89,7 +89,7 @@ def wide(df: DataFrame, rows: list[Key], columns: list[Key], measure: Measure, f
     keyed = _keyed(df, rows, columns, [measure], list(filters))
     r = [k.name for k in rows]
     keyed = keyed.withColumn("_column", F.concat_ws(" / ", *[k.name for k in columns]))
-    found = keyed.groupBy(*r).pivot("_column").agg(_aggregates([measure])[0])
+    found = _measured(keyed, [*r, "_column"], [measure]).groupBy(*r).pivot("_column").agg(F.first(measure.name))
     return found.fillna(0.0, [c for c in found.columns if c not in r]).orderBy(*r)
 
 

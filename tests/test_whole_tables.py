@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlark import catalog
-from gridlark.operators import order, profile
+from gridlark.operators import order, pivot, profile
+from gridlark.plans.view import view_of
 from tests.test_queries import DATA
 
 TABLES = {"currency_display_all": "part", "percent_display_all": "lineitem"}
@@ -48,3 +49,25 @@ def test_medians(spark, few):
     rows = [(k, float(i * 31 % 997 // (k or 1)), i % 3 + 1) for k in (None, 1, 2, 3) for i in range(600 if k != 3 else 1)]
     found = order.medians(spark.createDataFrame(rows, "k int, x double, n long").repartition(7), ["k"], few).collect()
     assert {r.k: r.median for r in found} == {k: statistics.median([x for g, x, n in rows for _ in range(n) if g == k]) for k in (None, 1, 2, 3)}
+
+
+def test_pivot_totals_count_values_before_they_read_them(spark):
+    rows = [(i, "ab"[i % 2], "xyz"[i * i % 3] if i % 11 else "n/a", str(i * 7 % 23) if i % 5 else "none", f"c{i % 9}") for i in range(300)]
+    v = view_of(spark.createDataFrame(rows, "k int, r string, q string, v string, c string"), ["k"])
+    measures = [("m", "v", "median"), ("d", "c", "unique"), ("w", "v", "unique"), ("e", "k", "median"), ("s", "v", "sum"), ("n", "v", "count")]
+    found = v.pivot(["r"], ["q"], measures, totals=True)
+    assert "percentile" not in planned(found) and "percentile" not in planned(v.pivot(["r"], ["q"], measures)) and "percentile" not in planned(v.group_by(["r"], "v", ["median", "unique"]))
+    got = {(t.level, t.r, t.q): tuple(t[m[0]] for m in measures) for t in found.collect()}
+    expected = {}
+    for k, r, q, n, c in rows:
+        q = "null" if q == "n/a" else q
+        for at in (("cell", r, q), ("row", r, None), ("column", None, q), ("grand", None, None)):
+            expected.setdefault(at, []).append((k, n, c))
+    of = lambda cells: [float(n) for _, n, _ in cells if n != "none"]
+    assert got == {at: (statistics.median(of(g)), len({c for _, _, c in g}), len({n for _, n, _ in g}), statistics.median(k for k, _, _ in g), sum(of(g)), len(g)) for at, g in expected.items()}
+    cells = {(t.r, t.q): t.m for t in v.pivot(["r"], ["q"], measures).collect()}
+    assert cells == {(r, q): m[0] for (level, r, q), m in got.items() if level == "cell"}
+    cross = pivot.wide(v.unordered, [v.key_of("r")], [v.key_of("q")], pivot.Measure("m", *v.cell("v"), "median")).collect()
+    assert {(t.r, q): t[q] for t in cross for q in ("x", "y", "null") if (t.r, q) in cells} == {at: m for at, m in cells.items() if at[1] in ("x", "y", "null")}
+    assert v.pivot([], [], measures).collect() == found.filter("level = 'grand'").select(*[m[0] for m in measures]).collect()
+    assert v.pivot(["r"], [], [("m", "r", "median")]).first().m == 0.0
